@@ -10,6 +10,8 @@ import time
 import duckdb
 import pandas as pd
 
+sys.path.insert(0, __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__))))
+
 from tillscope.sources.driver_tables import TABLES
 
 

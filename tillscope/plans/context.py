@@ -1,8 +1,10 @@
 """Shared, lazily built stage tables for one (session, data folder).
 
-Registered queries reuse the cleaned lines and the segmented customers instead of
-rebuilding them; each table is persisted (memory, spilling to disk) the first time a
-query asks for it.  Lost executors recompute blocks from lineage.
+Registered queries reuse the stage outputs instead of rebuilding them.  The stage
+hand-offs (clean lines, baskets, segmented customers) are checkpointed into the
+shared ``spark.checkpoint.dir``: that cuts lineage (later plans start from a scan,
+not from the whole chain with its scalar subqueries) and a lost executor costs a
+re-read, not a recompute of the chain.  Smaller helpers are persisted.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from tillscope.operators import cancellation as C
 from tillscope.operators import cleaning as D
 from tillscope.operators import customers as U
 from tillscope.params import Params, driver_params
+from tillscope.session import ensure_checkpoint_dir
 from tillscope.sources import driver_tables as T
 
 _CACHE: dict[tuple, "Context"] = {}
@@ -25,10 +28,15 @@ class Context:
         self.spark, self.sf_dir, self.p = spark, sf_dir, params
         self._t: dict[str, DataFrame] = {}
 
-    def _get(self, name: str, build, persist: bool = True) -> DataFrame:
+    def _get(self, name: str, build, persist: bool = True, checkpoint: bool = False) -> DataFrame:
         if name not in self._t:
             df = build()
-            self._t[name] = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
+            if checkpoint:
+                ensure_checkpoint_dir(self.spark)
+                df = df.checkpoint(eager=True)
+            elif persist:
+                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._t[name] = df
         return self._t[name]
 
     def raw(self) -> DataFrame:
@@ -41,13 +49,13 @@ class Context:
         return self._get("matches", lambda: C.match_cancellations(self.dedup(), self.p.match_bucket_seconds))
 
     def clean(self) -> DataFrame:
-        return self._get("clean", lambda: C.clean_lines(self.dedup(), self.matches()))
+        return self._get("clean", lambda: C.clean_lines(self.dedup(), self.matches()), checkpoint=True)
 
     def stand_in_map(self) -> DataFrame:
         return self._get("stand_in_map", lambda: B.stand_in_product_map(self.clean()))
 
     def baskets(self) -> DataFrame:
-        return self._get("baskets", lambda: B.basket_rollup(self.clean(), self.stand_in_map()))
+        return self._get("baskets", lambda: B.basket_rollup(self.clean(), self.stand_in_map()), checkpoint=True)
 
     def train(self) -> DataFrame:
         return B.split_baskets(self.baskets(), self.p.cut_date)[0]
@@ -56,7 +64,7 @@ class Context:
         return B.split_baskets(self.baskets(), self.p.cut_date)[1]
 
     def segments(self) -> DataFrame:
-        return self._get("segments", lambda: U.customer_segments(self.train()))
+        return self._get("segments", lambda: U.customer_segments(self.train()), checkpoint=True)
 
     def profile(self) -> DataFrame:
         return U.customer_profile(self.segments())
@@ -64,8 +72,8 @@ class Context:
     def test_profile(self) -> DataFrame:
         return self._get("test_profile", lambda: U.test_profile(self.test(), self.p.test_count_scale))
 
-    def cached(self, name: str, build, persist: bool = True) -> DataFrame:
-        return self._get(name, build, persist)
+    def cached(self, name: str, build, persist: bool = True, checkpoint: bool = False) -> DataFrame:
+        return self._get(name, build, persist, checkpoint)
 
 
 def context(spark: SparkSession, sf_dir: str, params: Params | None = None) -> Context:

@@ -138,3 +138,122 @@ def q_test_profile(spark, sf):
 def q_test_labels(spark, sf):
     c = context(spark, sf)
     return U.label_customers(c.test_profile().select("CustomerID"), c.segments(), c.p.default_label)
+
+
+# ---- silhouette of the rule segments (squared Euclidean, standardised R, F, M) ----
+def _seg_silhouette(c):
+    from tillscope.operators.silhouette import silhouette
+    z = U.standardized_rfm(c.segments())
+    return silhouette(z, ["z_Recency", "z_Frequency", "z_Monetary"])
+
+
+@register("segment_silhouette", O.sql("SELECT round(silhouette, 6) AS silhouette FROM sil"))
+def q_seg_sil(spark, sf):
+    return _seg_silhouette(context(spark, sf)).select(F.round("silhouette", 6).alias("silhouette"))
+
+
+# ---- report layer ----
+from tillscope.operators import reports as R  # noqa: E402
+
+for _name, _period in (("kpi_overview_last30", None), ("kpi_overview_month", O.P_MONTH),
+                       ("kpi_overview_year", O.P_YEAR)):
+    def _kpi(spark, sf, _p=_period):
+        return R.kpi_overview(context(spark, sf).clean(), _p)
+    register(_name, O.kpi_sql(_period))(_kpi)
+
+
+@register("region_share", O.region_sql(None))
+def q_region(spark, sf):
+    return R.region_share(context(spark, sf).clean(), None)
+
+
+@register("region_cumulative_share", O.region_cum_sql(None))
+def q_region_cum(spark, sf):
+    clean = context(spark, sf).clean()
+    cur, _ = R.period_masks(clean, None)
+    members = clean.filter(cur).agg(F.countDistinct("CustomerID")).scalar()
+    return R.region_cumulative_share(R.region_share(clean, None), members)
+
+
+@register("premium_members", O.premium_sql(None))
+def q_premium(spark, sf):
+    return R.premium_member_list(context(spark, sf).clean(), None)
+
+
+@register("daily_sales", O.daily_sql(None))
+def q_daily(spark, sf):
+    return R.daily_sales(context(spark, sf).clean(), None)
+
+
+@register("monthly_sales", O.monthly_sql(O.P_YEAR))
+def q_monthly(spark, sf):
+    return R.monthly_sales(context(spark, sf).clean(), O.P_YEAR)
+
+
+@register("available_periods", O.sql("""
+SELECT DISTINCT strftime(InvoiceDate, '%Y-%m') AS period, 'month' AS kind FROM clean
+UNION ALL SELECT DISTINCT strftime(InvoiceDate, '%Y') AS period, 'year' AS kind FROM clean""", "clean"))
+def q_periods(spark, sf):
+    return R.available_periods(context(spark, sf).clean())
+
+
+@register("repeat_interval", O.sql(
+    "SELECT coalesce(CAST(trunc(avg(gap)) AS BIGINT), 0) AS repeat_days FROM rep_gap"))
+def q_repeat(spark, sf):
+    return R.repeat_interval(context(spark, sf).clean())
+
+
+@register("upload_preview_periods", O.sql(
+    "SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS period FROM orders WHERE o_orderdate IS NOT NULL"))
+def q_preview(spark, sf):
+    from tillscope.sources.driver_tables import read_table
+    return R.upload_preview_periods(read_table(spark, sf, "orders").select("o_orderdate"), "o_orderdate")
+
+
+@register("segment_summary", O.segment_summary_sql(None))
+def q_seg_summary(spark, sf):
+    c = context(spark, sf)
+    return R.segment_summary(c.profile(), c.clean(), None)
+
+
+@register("segment_trend", O.segment_trend_sql(O.P_YEAR))
+def q_seg_trend(spark, sf):
+    c = context(spark, sf)
+    return R.segment_trend(c.profile(), c.clean(), O.P_YEAR)
+
+
+@register("segment_focus_category", O.segment_focus_sql(None))
+def q_seg_focus(spark, sf):
+    c = context(spark, sf)
+    return R.segment_focus_category(c.profile(), c.clean(), None)
+
+
+@register("segment_headline", O.segment_headline_sql(None))
+def q_seg_headline(spark, sf):
+    c = context(spark, sf)
+    return R.segment_headline(c.profile(), c.clean(), None, c.test(), _seg_silhouette(c))
+
+
+@register("product_cluster_summary", O.product_summary_sql(None))
+def q_prod_summary(spark, sf):
+    c = context(spark, sf)
+    return R.product_cluster_summary(c.stand_in_map(), c.clean(), None)
+
+
+@register("product_cluster_names", O.sql("SELECT id, name FROM (" + O.product_summary_sql(None) + ") z"))
+def q_prod_names(spark, sf):
+    return q_prod_summary(spark, sf).select("id", "name")
+
+
+@register("cluster_sample_products", O.sql("SELECT ClusterID, rank, Description FROM smp"))
+def q_samples(spark, sf):
+    return R.cluster_sample_products(context(spark, sf).stand_in_map()
+                                     .select("Description", F.col("categ_product").alias("ClusterID")))
+
+
+@register("keyword_cloud", O.sql("""
+SELECT keyword, name AS cluster, id, k FROM (
+  SELECT id, name, unnest(keywords) AS keyword, unnest(range(0, len(keywords))) AS k FROM (
+""" + O.product_summary_sql(None) + """) z) u ORDER BY id, k LIMIT 10"""))
+def q_keyword_cloud(spark, sf):
+    return R.keyword_cloud(q_prod_summary(spark, sf))
