@@ -400,3 +400,34 @@ FROM (
         FROM pm2 m LEFT JOIN ({product_stats_sql(period)}) s ON m.Description = s.Description GROUP BY m.ClusterID) per
   LEFT JOIN (SELECT ClusterID, list(Description ORDER BY rank) AS keywords FROM smp GROUP BY ClusterID) kw ON per.ClusterID = kw.ClusterID
   LEFT JOIN terms ON per.ClusterID = terms.ClusterID) z""", "pm2", "clean", "smp", "terms")
+
+# ---- products ----
+cte("prods", """
+SELECT Description, avg(UnitPrice) AS mean_price FROM clean WHERE Description IS NOT NULL GROUP BY Description""")
+cte("ptok", """
+SELECT DISTINCT Description, t0 FROM (
+  SELECT Description, unnest(string_split_regex(lower(Description), '[\\s,.;:!?()\\[\\]{}"'']+')) AS t0 FROM prods) x
+WHERE length(t0) > 0""")
+cte("inv", """
+SELECT root, count(DISTINCT Description) AS doc_count, first(t0 ORDER BY length(t0), t0) AS keyword FROM (
+  SELECT Description, t0,
+    CASE WHEN suffix(t0, 'sses') THEN left(t0, length(t0) - 2)
+      WHEN suffix(t0, 'ied') OR suffix(t0, 'ies') THEN
+        CASE WHEN length(t0) > 4 THEN left(t0, length(t0) - 2) ELSE left(t0, length(t0) - 1) END
+      WHEN suffix(t0, 'us') OR suffix(t0, 'ss') THEN t0
+      WHEN suffix(t0, 's') AND regexp_matches(left(t0, length(t0) - 2), '[aeiouy]') THEN left(t0, length(t0) - 1)
+      ELSE t0 END AS root
+  FROM ptok WHERE regexp_matches(t0, '[a-z]')) r
+GROUP BY root""")
+cte("kws", """
+SELECT keyword, doc_count FROM inv
+WHERE keyword NOT IN ('pink', 'blue', 'tag', 'green', 'orange') AND length(keyword) >= 3
+  AND doc_count >= greatest(2, CAST(trunc((SELECT count(*) FROM prods) * CAST(0.01 AS DOUBLE)) AS BIGINT))
+  AND NOT contains(keyword, '+') AND NOT contains(keyword, '/')""")
+cte("bands", """
+SELECT Description, mean_price, band AS price_band,
+  ['0<.<1', '1<.<2', '2<.<3', '3<.<5', '5<.<10', '.>10'][band + 1] AS price_label FROM (
+  SELECT Description, mean_price,
+    CASE WHEN coalesce(mean_price, 0) < 1 THEN 0 WHEN coalesce(mean_price, 0) < 2 THEN 1
+      WHEN coalesce(mean_price, 0) < 3 THEN 2 WHEN coalesce(mean_price, 0) < 5 THEN 3
+      WHEN coalesce(mean_price, 0) < 10 THEN 4 ELSE 5 END AS band FROM prods) b""")

@@ -257,3 +257,48 @@ SELECT keyword, name AS cluster, id, k FROM (
 """ + O.product_summary_sql(None) + """) z) u ORDER BY id, k LIMIT 10"""))
 def q_keyword_cloud(spark, sf):
     return R.keyword_cloud(q_prod_summary(spark, sf))
+
+
+# ---- stage 3: products ----
+from tillscope.operators import products as PR  # noqa: E402
+
+
+def _prods(c):
+    return c.cached("products", lambda: PR.products(c.clean()))
+
+
+def _keywords(c):
+    return c.cached("product_keywords", lambda: PR.product_keywords(_prods(c)))
+
+
+def product_groups(c):
+    """KMeans product groups (the default product map of the stage chain)."""
+    def build():
+        feats = PR.product_features(_prods(c), _keywords(c))
+        mapping, model, sil, seed = PR.cluster_products(feats, c.p.n_product_clusters, c.p.silhouette_floor,
+                                                        c.p.max_cluster_attempts)
+        c.p.extra["product_silhouette"] = sil
+        return mapping.withColumn("silhouette", F.lit(sil)).withColumn("seed", F.lit(seed))
+    return c.cached("product_groups", build, checkpoint=True)
+
+
+@register("product_keywords", O.sql("SELECT * FROM kws"))
+def q_keywords(spark, sf):
+    return _keywords(context(spark, sf))
+
+
+@register("product_price_bands", O.sql("SELECT * FROM bands"))
+def q_bands(spark, sf):
+    return PR.price_bands(_prods(context(spark, sf)))
+
+
+@register("product_keyword_matrix", O.sql("""
+SELECT DISTINCT p.Description, p.t0 AS keyword FROM ptok p JOIN kws k ON p.t0 = k.keyword"""))
+def q_kw_matrix(spark, sf):
+    c = context(spark, sf)
+    return PR.keyword_matrix(_prods(c), _keywords(c))
+
+
+@register("product_clusters")
+def q_product_clusters(spark, sf):
+    return product_groups(context(spark, sf))
