@@ -42,8 +42,8 @@ def trend(cur: Column, prev: Column) -> Column:
 
 def safe_int(c: Column, default: int = 0) -> Column:
     """int(x), else int(float(x)), else a default."""
-    return F.coalesce(F.try_cast(c.cast("string"), "bigint"),
-                      F.try_cast(c.cast("string"), "double").cast("bigint"), F.lit(default))
+    return F.coalesce((c.cast("string")).try_cast("bigint"),
+                      (c.cast("string")).try_cast("double").cast("bigint"), F.lit(default))
 
 
 def segment_story(freq: Column, total_spend: Column, avg_basket: Column, global_basket: Column) -> Column:

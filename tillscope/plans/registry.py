@@ -302,3 +302,91 @@ def q_kw_matrix(spark, sf):
 @register("product_clusters")
 def q_product_clusters(spark, sf):
     return product_groups(context(spark, sf))
+
+
+# ---- sources and sinks ----
+from tillscope.session import work_path  # noqa: E402
+from tillscope.sources import catalog as CAT  # noqa: E402
+from tillscope.sources import exports as EXP  # noqa: E402
+from tillscope.sources import invoice_csv as CSV  # noqa: E402
+from tillscope.sources.driver_tables import read_table, transactions  # noqa: E402
+
+
+@register("ingest_transactions", O.sql("SELECT * FROM tx"))
+def q_ingest(spark, sf):
+    """Adapter view -> Latin-1 CSV in the shared work folder -> strict read back."""
+    path = work_path(spark, "invoices-csv")
+    CSV.write_invoices(transactions(spark, sf), path)
+    return CSV.read_invoices(spark, path, strict=True, has_line_key=True)
+
+
+def _orders_text(spark, sf):
+    o = read_table(spark, sf, "orders")
+    return o.select(*[F.col(c).cast("string").alias(c) for c in o.columns])
+
+
+_ORDERS_TEXT = ("SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in
+                ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
+                + " FROM orders")
+_DATE_RX = [(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "%Y-%m-%d %H:%M:%S"),
+            (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "%Y-%m-%d %H:%M"), (r"^\d{4}-\d{2}-\d{2}$", "%Y-%m-%d"),
+            (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "%m/%d/%Y %H:%M"),
+            (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "%m/%d/%Y %H:%M:%S")]
+
+
+def _parse_sql(c):
+    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '{rx}') THEN try_strptime({c}, '{f}')" for rx, f in _DATE_RX) + " END"
+
+
+def _label_sql(c):
+    num = f"TRY_CAST({c} AS DOUBLE)"
+    whole = f"max(({num} - floor({num}))) <= 1e-8"
+    return f"""SELECT '{c}' AS "column", CASE WHEN count({c}) = 0 THEN 'text'
+  WHEN count({_parse_sql(c)}) = count({c}) THEN 'datetime'
+  WHEN count(*) FILTER (WHERE {c} IN ('True', 'False')) = count({c}) THEN 'int'
+  WHEN count({num}) = count({c}) THEN CASE WHEN {whole} THEN 'int' ELSE 'float' END
+  WHEN max(length({c})) <= 255 THEN 'varchar' ELSE 'text' END AS label FROM ot"""
+
+
+_ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+O.cte("ot", _ORDERS_TEXT)
+O.cte("olabels", " UNION ALL ".join(
+    f"SELECT {i} AS position, * FROM ({_label_sql(c)})" for i, c in enumerate(_ORDER_COLS)))
+
+
+@register("infer_column_types", O.sql('SELECT CAST(position AS INTEGER) AS position, "column", label FROM olabels'))
+def q_infer(spark, sf):
+    return CAT.infer_column_types(_orders_text(spark, sf))
+
+
+@register("cast_by_inferred_type", O.sql("""
+SELECT TRY_CAST(TRY_CAST(o_orderkey AS DOUBLE) AS BIGINT) AS o_orderkey,
+  TRY_CAST(TRY_CAST(o_custkey AS DOUBLE) AS BIGINT) AS o_custkey, o_orderstatus,
+  TRY_CAST(o_totalprice AS DOUBLE) AS o_totalprice, """ + _parse_sql("o_orderdate") + """ AS o_orderdate,
+  o_orderpriority FROM ot"""))
+def q_cast(spark, sf):
+    df = _orders_text(spark, sf)
+    labels = {r["column"]: r["label"] for r in CAT.infer_column_types(df).collect()}
+    return CAT.cast_by_labels(df, labels)
+
+
+@register("load_results_catalog")
+def q_catalog(spark, sf):
+    c = context(spark, sf)
+    folder = work_path(spark, "results")
+    c.profile().write.mode("overwrite").option("header", True).csv(f"{folder}/Stage 4--Customers (train).csv")
+    c.test().write.mode("overwrite").option("header", True).csv(f"{folder}/stage4_set_test.csv")
+    _keywords(c).write.mode("overwrite").option("header", True).csv(f"{folder}/stage3/keywords.csv")
+    return CAT.load_results(spark, folder, work_path(spark, "tables"))
+
+
+@register("export_product_cluster", O.sql("SELECT Description, categ_product AS ClusterID FROM pmap WHERE categ_product = 0"))
+def q_export_products(spark, sf):
+    return EXP.product_group_members(context(spark, sf).stand_in_map(), 0)
+
+
+@register("export_segment", O.sql(
+    f"SELECT * FROM ({O.seg_sel_sql(O.P_YEAR)}) s WHERE cluster = 3", "profile", "clean"))
+def q_export_segment(spark, sf):
+    c = context(spark, sf)
+    return EXP.segment_members(c.profile(), c.clean(), 3, O.P_YEAR)
