@@ -390,3 +390,131 @@ def q_export_products(spark, sf):
 def q_export_segment(spark, sf):
     c = context(spark, sf)
     return EXP.segment_members(c.profile(), c.clean(), 3, O.P_YEAR)
+
+
+# ---- stages 5-7: models and explanations (rows-only checks) ----
+import json  # noqa: E402
+
+from tillscope.operators import models as M  # noqa: E402
+from tillscope.operators import shapley as SH  # noqa: E402
+from tillscope.schema import EVAL_NAMES_STAGE6, EXPLAINED_MODELS, FEATURE_COLS  # noqa: E402
+
+ML_GRID = "small"   # registered queries use the reduced grids; pipelines default to "full"
+
+
+def ml_state(c, grid: str = ML_GRID) -> dict:
+    key = f"ml_{grid}"
+    st = c.p.extra.setdefault(key, {})
+    if "fitted" not in st:
+        folds = M.GRIDS[grid]["folds"]
+        frame = M.model_frame(c.profile())
+        split = M.stratified_split(frame, label="label", seed=c.p.seed, train_fraction=c.p.train_fraction,
+                                   n_folds=folds).checkpoint(eager=True)
+        st["split"] = split
+        st["fitted"] = M.fit_suite(split, grid, c.p.seed)
+        test_rows = M.assemble(U.label_customers(c.test_profile(), c.segments(), c.p.default_label)) \
+            .select("CustomerID", F.xxhash64("CustomerID").alias("rid"), "features",
+                    F.col("cluster").cast("double").alias("label"), *FEATURE_COLS)
+        st["test_rows"] = test_rows.checkpoint(eager=True)
+    return st
+
+
+def ml_eval(c) -> tuple[DataFrame, DataFrame]:
+    st = ml_state(c)
+    if "eval" not in st:
+        fitted = st["fitted"]
+        hold = st["split"].where(F.col("part") == "test")
+        e5, p5 = M.evaluate(fitted, hold, "stage5", ["SVC", "LR", "KNN", "DT", "RF", "ADA", "GB", "VOTE"])
+        e6, p6 = M.evaluate(fitted, st["test_rows"], "stage6", list(EVAL_NAMES_STAGE6))
+        name6 = F.create_map(*[x for k, v in EVAL_NAMES_STAGE6.items() for x in (F.lit(k), F.lit(v))])
+        e6 = e6.withColumn("model", name6[F.col("model")])
+        p6 = p6.withColumn("model", name6[F.col("model")])
+        st["eval"] = (e5.unionByName(e6),
+                      p5.withColumn("stage", F.lit("stage5")).unionByName(p6.withColumn("stage", F.lit("stage6"))))
+    return st["eval"]
+
+
+def ml_shap(c) -> tuple[DataFrame, DataFrame]:
+    st = ml_state(c)
+    if "shap" not in st:
+        fitted = st["fitted"]
+        x = st["test_rows"]
+        explain = SH.seeded_sample(x, "CustomerID", c.p.explain_rows, c.p.seed)
+        background = SH.seeded_sample(x, "CustomerID", c.p.background_rows, c.p.seed + 1)
+        pts = (SH.coalition_points(explain, background)
+               .withColumn("rid", F.monotonically_increasing_id()).checkpoint(eager=True))
+        classes = sorted(int(r[0]) for r in st["split"].where("part = 'train'").select("label").distinct().collect())
+        vals, imps = [], []
+        for short, name in EXPLAINED_MODELS.items():
+            f = fitted[short]
+            scored = M.raw_margins(f, pts) if short == "LR" else f.score(pts)
+            v = SH.shapley(scored, M.N_CLASSES, classes).checkpoint(eager=True)
+            vals.append(v.select("CustomerID", F.lit(name).alias("model"),
+                                 *[F.col(f"shap_{f_}") for f_ in FEATURE_COLS]))
+            imps.append(SH.importance(v, name))
+        sv, si = vals[0], imps[0]
+        for a, b in zip(vals[1:], imps[1:]):
+            sv, si = sv.unionByName(a), si.unionByName(b)
+        st["shap"] = (si, sv)
+    return st["shap"]
+
+
+@register("stratified_split")
+def q_split_strat(spark, sf):
+    return ml_state(context(spark, sf))["split"].select("CustomerID", "label", "part", "fold")
+
+
+@register("training_features")
+def q_train_features(spark, sf):
+    return ml_state(context(spark, sf))["split"].where(F.col("part") == "train").select("CustomerID", *FEATURE_COLS)
+
+
+@register("model_grid_search")
+def q_grid(spark, sf):
+    fitted = ml_state(context(spark, sf))["fitted"]
+    rows = [(n, json.dumps({k: (float(v) if isinstance(v, float) else v) for k, v in f.params.items()}),
+             f.cv_accuracy) for n, f in fitted.items() if n != "VOTE"]
+    return spark.createDataFrame(rows, "model string, best_params string, cv_accuracy double")
+
+
+@register("model_eval")
+def q_model_eval(spark, sf):
+    return ml_eval(context(spark, sf))[0]
+
+
+@register("model_predictions")
+def q_model_pred(spark, sf):
+    return ml_eval(context(spark, sf))[1]
+
+
+@register("shap_importance")
+def q_shap_imp(spark, sf):
+    return ml_shap(context(spark, sf))[0]
+
+
+@register("shap_values")
+def q_shap_vals(spark, sf):
+    return ml_shap(context(spark, sf))[1]
+
+
+@register("shap_values_sample")
+def q_shap_sample(spark, sf):
+    from pyspark.sql import Window
+    c = context(spark, sf)
+    v = ml_shap(c)[1]
+    w = Window.partitionBy("model").orderBy(F.xxhash64("CustomerID", F.lit(c.p.seed)), "CustomerID")
+    return v.withColumn("n", F.row_number().over(w)).where(F.col("n") <= c.p.shap_sample_rows).drop("n")
+
+
+@register("shap_importance_relative")
+def q_shap_rel(spark, sf):
+    return SH.relative_importance(ml_shap(context(spark, sf))[0])
+
+
+@register("explained_model_accuracy")
+def q_explained_acc(spark, sf):
+    ev = ml_eval(context(spark, sf))[0]
+    keep = {EVAL_NAMES_STAGE6[k]: v for k, v in EXPLAINED_MODELS.items()}
+    m = F.create_map(*[x for k, v in keep.items() for x in (F.lit(k), F.lit(v))])
+    return (ev.where((F.col("stage") == "stage6") & F.col("model").isin(list(keep)))
+            .select(m[F.col("model")].alias("model"), "accuracy"))
