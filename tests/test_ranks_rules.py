@@ -54,7 +54,7 @@ def test_recency_floor(spark):
 @pytest.mark.parametrize("r,f,m,pct,name", [
     (1, 1, 1, 0.96, "Champions"), (4, 4, 3, 0.5, "Champions"), (3, 3, 3, 0.5, "Loyal Customers"),
     (1, 3, 1, 0.5, "At Risk"), (1, 2, 2, 0.5, "Lost"), (2, 1, 3, 0.5, "Need Attention"),
-    (3, 1, 2, 0.5, "Promising"), (2, 2, 4, 0.5, "Big Spenders"), (2, 2, 2, 0.5, "Standard"),
+    (3, 1, 2, 0.5, "Promising"), (3, 2, 4, 0.5, "Big Spenders"), (2, 2, 2, 0.5, "Standard"),
     (4, 4, 4, 0.5, "Champions"), (1, 1, 4, 0.5, "At Risk")])
 def test_segment_rules(spark, r, f, m, pct, name):
     df = spark.createDataFrame([(float(r), float(f), float(m), pct)], "r double, f double, m double, p double")
