@@ -402,16 +402,14 @@ from tillscope.schema import EVAL_NAMES_STAGE6, EXPLAINED_MODELS, FEATURE_COLS
 ML_GRID = "small"   # registered queries use the reduced grids; pipelines default to "full"
 
 
-def ml_state(c, grid: str = ML_GRID) -> dict:
-    key = f"ml_{grid}"
-    st = c.p.extra.setdefault(key, {})
-    if "fitted" not in st:
+def ml_split(c, grid: str = ML_GRID) -> dict:
+    """Split (and the labelled later-period rows) without fitting anything."""
+    st = c.p.extra.setdefault(f"ml_{grid}", {})
+    if "split" not in st:
         folds = M.GRIDS[grid]["folds"]
         frame = M.model_frame(c.profile())
-        split = M.stratified_split(frame, label="label", seed=c.p.seed, train_fraction=c.p.train_fraction,
-                                   n_folds=folds).checkpoint(eager=True)
-        st["split"] = split
-        st["fitted"] = M.fit_suite(split, grid, c.p.seed)
+        st["split"] = M.stratified_split(frame, label="label", seed=c.p.seed, train_fraction=c.p.train_fraction,
+                                         n_folds=folds).checkpoint(eager=True)
         test_rows = M.assemble(U.label_customers(c.test_profile(), c.segments(), c.p.default_label)) \
             .select("CustomerID", F.xxhash64("CustomerID").alias("rid"), "features",
                     F.col("cluster").cast("double").alias("label"), *FEATURE_COLS)
@@ -419,6 +417,13 @@ def ml_state(c, grid: str = ML_GRID) -> dict:
     return st
 
 
+def ml_state(c, grid: str = ML_GRID) -> dict:
+    st = ml_split(c, grid)
+    if "fitted" not in st:
+        st["fitted"] = M.fit_suite(st["split"], grid, c.p.seed)
+    return st
+
+
 def ml_eval(c) -> tuple[DataFrame, DataFrame]:
     st = ml_state(c)
     if "eval" not in st:
@@ -461,12 +466,12 @@ def ml_shap(c) -> tuple[DataFrame, DataFrame]:
 
 @register("stratified_split")
 def q_split_strat(spark, sf):
-    return ml_state(context(spark, sf))["split"].select("CustomerID", "label", "part", "fold")
+    return ml_split(context(spark, sf))["split"].select("CustomerID", "label", "part", "fold")
 
 
 @register("training_features")
 def q_train_features(spark, sf):
-    return ml_state(context(spark, sf))["split"].where(F.col("part") == "train").select("CustomerID", *FEATURE_COLS)
+    return ml_split(context(spark, sf))["split"].where(F.col("part") == "train").select("CustomerID", *FEATURE_COLS)
 
 
 @register("model_grid_search")
