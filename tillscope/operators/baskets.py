@@ -41,14 +41,19 @@ def basket_rollup(clean: DataFrame, product_map: DataFrame, n_groups: int = 5) -
                     *CATEG_COLS[:n_groups]))
 
 
+def _cut(cut: _dt.date):
+    # text -> TIMESTAMP_NTZ: no time zone is involved
+    return F.lit(f"{cut.isoformat()} 00:00:00").cast("timestamp_ntz")
+
+
 def split_baskets(baskets: DataFrame, cut: _dt.date) -> tuple[DataFrame, DataFrame]:
-    c = F.lit(_dt.datetime(cut.year, cut.month, cut.day)).cast("timestamp_ntz")
+    c = _cut(cut)
     return baskets.filter(F.col("InvoiceDate") < c), baskets.filter(F.col("InvoiceDate") >= c)
 
 
 def basket_stats(baskets: DataFrame, cut: _dt.date) -> DataFrame:
     """Date range of all baskets and train / test basket counts (one row)."""
-    c = F.lit(_dt.datetime(cut.year, cut.month, cut.day)).cast("timestamp_ntz")
+    c = _cut(cut)
     return baskets.agg(F.min("InvoiceDate").alias("first_basket"), F.max("InvoiceDate").alias("last_basket"),
                        F.count_if(F.col("InvoiceDate") < c).alias("train_rows"),
                        F.count_if(F.col("InvoiceDate") >= c).alias("test_rows"))
