@@ -105,3 +105,17 @@ def test_period_bounds(spark):
     cur, prev = period_masks(df, None)
     got = [(r["c"], r["p"]) for r in df.select(cur.alias("c"), prev.alias("p")).collect()]
     assert got == [(True, False), (False, True), (False, False)]
+
+
+def test_global_position_many_partitions(spark):
+    import random
+    rnd = random.Random(4)
+    rows = [(f"k{i:05d}", float(rnd.choice([1, 2, 3]))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["k"]: r["pos"] for r in global_position(df, [F.desc("v"), "k"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {k: i + 1 for i, (k, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    assert got == want

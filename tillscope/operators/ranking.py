@@ -21,9 +21,10 @@ def global_position(df: DataFrame, order_cols: list, name: str = "pos") -> DataF
     which must be unique per row (end it with a key)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ordered = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).checkpoint(eager=True)
+    # no fixed partition count: AQE sizes the range partitions (coalescing keeps them
+    # contiguous ranges, and the checkpoint then fixes them)
+    ordered = df.repartitionByRange(*cols).sortWithinPartitions(*cols).checkpoint(eager=True)
     tagged = (ordered.withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
