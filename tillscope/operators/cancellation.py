@@ -63,8 +63,9 @@ def match_cancellations(lines: DataFrame, bucket_seconds: int = 86_400) -> DataF
     bucket_us = bucket_seconds * 1_000_000
 
     # L = bit length of the largest cancelled quantity (scalar subquery, run once)
-    neg = neg.withColumn("nb", F.length(F.bin(neg.agg(F.max("a")).scalar())))
-    pos = pos.withColumn("nb", F.length(F.bin(neg.agg(F.max("a")).scalar())))
+    n_bits_scalar = F.length(F.bin(neg.agg(F.max("a")).scalar()))   # one scalar subquery, reused
+    neg = neg.withColumn("nb", n_bits_scalar)
+    pos = pos.withColumn("nb", n_bits_scalar)
     n_bits = F.col("nb")
     top = _shl(F.lit(1).cast("bigint"), n_bits) - 1
     levels = F.sequence(F.lit(0), n_bits - 1)
