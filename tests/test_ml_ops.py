@@ -60,3 +60,22 @@ def test_silhouette_matches_spark_evaluator(spark):
     v = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
     ref = ClusteringEvaluator(predictionCol="cluster").evaluate(v.withColumn("cluster", F.col("cluster").cast("double")))
     assert abs(mine - ref) < 1e-9
+
+
+def test_shapley_of_mean_is_mean_of_shapley(spark):
+    rnd = random.Random(9)
+    feats = [f"f{j}" for j in range(6)]
+    rows = [(f"c{i}", *[rnd.random() for _ in feats]) for i in range(10)]
+    df = spark.createDataFrame(rows, "CustomerID string, " + ", ".join(f"{f} double" for f in feats))
+    pts = SH.coalition_points(df.limit(3), df, features=feats)
+    from pyspark.ml.functions import vector_to_array
+    x = vector_to_array("features")
+    f1 = F.when(x[0] > 0.5, x[1]).otherwise(x[2] * x[3])      # non-linear outputs
+    f2 = F.greatest(x[4], x[5]) - x[0]
+    a = SH.shapley(pts.withColumn("p", F.array(f1, -f1)), 2, [0, 1], features=feats)
+    b = SH.shapley(pts.withColumn("p", F.array(f2, f2 * 2)), 2, [0, 1], features=feats)
+    direct = SH.shapley(pts.withColumn("p", F.array((f1 + f2) / 2, (-f1 + f2 * 2) / 2)), 2, [0, 1], features=feats)
+    combined = {r["CustomerID"]: r for r in SH.mean_of([a, b], 2, [0, 1], features=feats).collect()}
+    for r in direct.collect():
+        for f in feats:
+            assert abs(r[f"shap_{f}"] - combined[r["CustomerID"]][f"shap_{f}"]) < 1e-12

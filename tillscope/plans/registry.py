@@ -450,10 +450,17 @@ def ml_shap(c) -> tuple[DataFrame, DataFrame]:
                .withColumn("rid", F.monotonically_increasing_id()).checkpoint(eager=True))
         classes = sorted(int(r[0]) for r in st["split"].where("part = 'train'").select("label").distinct().collect())
         vals, imps = [], []
+        phis = {}
         for short, name in EXPLAINED_MODELS.items():
             f = fitted[short]
-            scored = M.raw_margins(f, pts) if short == "LR" else f.score(pts)
-            v = SH.shapley(scored, M.N_CLASSES, classes).checkpoint(eager=True)
+            if short == "VOTE":
+                # linearity: the vote's values are the mean of its members' values
+                knn = SH.shapley(fitted["KNN"].score(pts), M.N_CLASSES, classes)
+                v = SH.mean_of([phis["RF"], phis["GB"], knn], M.N_CLASSES, classes).checkpoint(eager=True)
+            else:
+                scored = M.raw_margins(f, pts) if short == "LR" else f.score(pts)
+                v = SH.shapley(scored, M.N_CLASSES, classes).checkpoint(eager=True)
+            phis[short] = v
             vals.append(v.select("CustomerID", F.lit(name).alias("model"),
                                  *[F.col(f"shap_{f_}") for f_ in FEATURE_COLS]))
             imps.append(SH.importance(v, name))
