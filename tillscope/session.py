@@ -33,7 +33,8 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "t
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a fresh folder is made.
+    Read from the session; only when it is unset and the master is local (tests, the bench) a fresh
+    folder is made.  On a cluster an unset folder is an error: a machine-local one would lose data.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -41,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tillscope-ckpt-", dir=os.environ.get("TILLSCOPE_SCRATCH", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
