@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tillscope.llm import fm_decontam
+from tillscope.llm import fm_decontam, mix_tree, simhash_planes
 
 QUERIES = {
     "op1_fm_decontamination": fm_decontam.op1_fm_decontamination,
+    "op6_simhash_components": simhash_planes.op6_simhash_components,
+    "op8_mix_tree": mix_tree.op8_mix_tree,
 }
 ORACLE = {
     "op1_fm_decontamination": fm_decontam.ORACLE,
