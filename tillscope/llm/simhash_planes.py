@@ -66,8 +66,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
 
 def bucket_masks(n: int, radius: int) -> list[int]:
-    """Bit masks of the bucket keys: the fewest blocks m for which a key has about log2(n) bits."""
-    m = radius + 1
+    """Bit masks of the bucket keys: the fewest blocks m (two must agree at least) for which a key has about log2(n) bits."""
+    m = radius + 2
     while 2 ** (BITS * (m - radius) // m) * 16 < n and m < 2 * radius + 4:
         m += 1
     edge = [round(BITS * i / m) for i in range(m + 1)]
