@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tillscope.llm import fm_decontam, mix_tree, simhash_planes
+from tillscope.llm import (fm_decontam, host_reputation, label_shards, mix_tree, scaled_sketch, simhash_planes)
 
 QUERIES = {
     "op1_fm_decontamination": fm_decontam.op1_fm_decontamination,
+    "op3_host_reputation": host_reputation.op3_host_reputation,
     "op6_simhash_components": simhash_planes.op6_simhash_components,
     "op8_mix_tree": mix_tree.op8_mix_tree,
+    "op9_scaled_sketch": scaled_sketch.op9_scaled_sketch,
+    "op10_label_shards": label_shards.op10_label_shards,
 }
 ORACLE = {
     "op1_fm_decontamination": fm_decontam.ORACLE,
+    "op3_host_reputation": host_reputation.ORACLE,
 }
