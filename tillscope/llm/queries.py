@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tillscope.llm import (fm_decontam, host_reputation, label_shards, mix_tree, scaled_sketch, simhash_planes)
+from tillscope.llm import (fm_decontam, host_reputation, label_shards, mix_tree, scaled_sketch, simhash_planes,
+                           unigram_langid)
 
 QUERIES = {
     "op1_fm_decontamination": fm_decontam.op1_fm_decontamination,
     "op3_host_reputation": host_reputation.op3_host_reputation,
     "op6_simhash_components": simhash_planes.op6_simhash_components,
+    "op7_unigram_langid": unigram_langid.op7_unigram_langid,
     "op8_mix_tree": mix_tree.op8_mix_tree,
     "op9_scaled_sketch": scaled_sketch.op9_scaled_sketch,
     "op10_label_shards": label_shards.op10_label_shards,
