@@ -106,3 +106,19 @@ def ensure_row_ids(df: DataFrame, name: str, row: str = "_row") -> DataFrame:
 
 def spark_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
+
+
+def span_list(spans: Column) -> Column:
+    """``kind:start:end`` joined by commas, from structs sorted by (start, no)."""
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(F.array_sort(spans), one), ",")
+
+
+def replaced(text: Column, spans: Column, label) -> Column:
+    """``text`` with each span of (start, no, end, kind) replaced by ``label(span)``; a span inside an earlier one goes with it."""
+    acc0 = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    step = lambda acc, s: F.when(s["start"] < acc["pos"], F.struct(
+        F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out"))).otherwise(F.struct(
+            s["end"].alias("pos"), F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), label(s)).alias("out")))
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.char_length(text)))
+    return F.aggregate(F.array_sort(spans), acc0, step, rest)
