@@ -9,7 +9,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,9 +46,9 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left")
     """
     if size_in_bytes(small) <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), keys, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)).cast("int"))
-    return out.join(salted, [*keys, "_salt"], how).drop("_salt")
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)).cast("int"))
+    return out.join(salted, [*keys, "__salt"], how).drop("__salt")
 
 
 def spread_rank(df: DataFrame, order: list[str], rank: str, n_rows: int, within: list[str] | None = None) -> DataFrame:
@@ -104,10 +104,6 @@ def ensure_row_ids(df: DataFrame, name: str, row: str = "_row") -> DataFrame:
     return written(df.withColumn(row, F.monotonically_increasing_id()), name)
 
 
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def span_list(spans: Column) -> Column:
     """``kind:start:end`` joined by commas, from structs sorted by (start, no)."""
     one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))

@@ -203,7 +203,7 @@ def cut_words(text: str, spans: list[dict[str, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def _scan(phrases, text_col: str, keep: list[str], later: bool):
+def _scan(phrases, text_col: str, keep: list[str], prefix: str, later: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = phrases.value
         for batch in batches:
@@ -216,7 +216,7 @@ def _scan(phrases, text_col: str, keep: list[str], later: bool):
                 hits[d] = int(hit[starts[d]: starts[d + 1]].sum())
                 spans[d], found[d] = _spans(hit[starts[d]: starts[d + 1]]), sorted(items.get(int(d), ()))
             if later:  # merge with the spans of earlier benchmark blocks
-                for d, (old, had) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())):
+                for d, (old, had) in enumerate(zip(batch.column(prefix + "spans").to_pylist(), batch.column(prefix + "items").to_pylist())):
                     if old:
                         flags = np.zeros(len(docs[d]), bool)
                         for s in [*old, *spans[d]]:
@@ -225,24 +225,25 @@ def _scan(phrases, text_col: str, keep: list[str], later: bool):
             cols = [batch.column(c) for c in keep]
             cols += [pa.array([len(d) for d in docs], pa.int64()), pa.array(hits, pa.int64()),
                      pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, *RESULT.names])
+            yield pa.RecordBatch.from_arrays(cols, [*keep, *(prefix + c for c in RESULT.names)])
     return run
 
 
 def find_benchmark(docs: DataFrame, bench: DataFrame, window: int = 10, text: str = "text",
-                   item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
-    """``docs`` with n_words, n_hit, spans (word positions, end exclusive) and items (ids found)."""
+                   item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20, prefix: str = "") -> DataFrame:
+    """``docs`` with n_words, n_hit, spans (word positions, end exclusive) and items (ids found), each with ``prefix``."""
     spark = docs.sparkSession
     bench = bench.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n_blocks = 1 + int(total // block_bytes)
-    keep = [c for c in docs.columns if c not in RESULT.names]
+    names = {prefix + c: c for c in RESULT.names}
+    keep = [c for c in docs.columns if c not in names]
     out = docs.select(*keep)
-    schema = T.StructType([out.schema[c] for c in keep] + RESULT.fields)
+    schema = T.StructType([out.schema[c] for c in keep] + [T.StructField(p, RESULT[c].dataType) for p, c in names.items()])
     for b in range(n_blocks):
         rows = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b).collect()
         block = spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in rows], window))
-        out = out.mapInArrow(_scan(block, text, keep, b > 0), schema)
+        out = out.mapInArrow(_scan(block, text, keep, prefix, b > 0), schema)
     return out
 
 
@@ -251,15 +252,15 @@ def remove_benchmark(docs: DataFrame, bench: DataFrame, window: int = 10, text:
 
     Documents without hits keep their text as it is.  ``n_chars``, where present, follows the text.
     """
-    found = find_benchmark(docs, bench, window, text, **kw)
+    found = find_benchmark(docs, bench, window, text, prefix="__", **kw)
     schema, names = docs.schema, docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text).to_pylist()
             cols = {c: batch.column(c) for c in names}
-            if any(n for n in batch.column("n_hit").to_pylist()):
-                spans = batch.column("spans").to_pylist()
+            if any(n for n in batch.column("__n_hit").to_pylist()):
+                spans = batch.column("__spans").to_pylist()
                 new = [cut_words(t, s) if s else t for t, s in zip(texts, spans)]
                 cols[text] = pa.array(new, cols[text].type)
                 if "n_chars" in cols:
@@ -267,8 +268,7 @@ def remove_benchmark(docs: DataFrame, bench: DataFrame, window: int = 10, text:
                     cols["n_chars"] = pa.array(sizes, cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
 
-    # the hit and word columns must not shadow columns of the documents
-    left = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words")))
+    left = found.where((F.col("__n_hit") == 0) | (F.col("__n_hit") < F.col("__n_words")))
     return left.mapInArrow(cut, schema)
 
 

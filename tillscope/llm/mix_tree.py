@@ -165,23 +165,20 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     drawn = drawn.withColumn("_id", F.coalesce(F.col("_id").cast("string"), F.lit("")))
     pieces = written(drawn.groupBy("_id", "_key").agg(
         F.collect_list(F.struct("pass", "_shard", "_ranges")).alias("_draws"), F.max("n_same").alias("n_same")), "mix-draws")
-    keyed = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) \
-        .withColumn("_key", F.xxhash64(F.col(doc_id), F.lit(seed), F.col(text)))
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"),
+                        F.xxhash64(F.col(doc_id), F.lit(seed), F.col(text)).alias("_key"))
     twice = written(pieces.where("n_same > 1").select("_id", "_key"), "mix-twice")
     if not twice.isEmpty():  # rows that repeat doc_id and text: one of them stands for the draws of all
         keyed = lookup(keyed, twice, ["_id", "_key"], "left_anti").unionByName(
             lookup(keyed, twice, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]))
-    out = lookup(keyed, pieces.drop("n_same"), ["_id", "_key"], "inner")
-    out = out.select("*", F.explode("_draws").alias("_d"))
-    words = F.expr(f"regexp_extract_all({text}, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)")
+    out = lookup(keyed, pieces.drop("n_same"), ["_id", "_key"], "inner").select("row", "_key", F.explode("_draws").alias("_d"))
+    words = F.regexp_extract_all(F.col("row")[text], F.lit(WORDS), F.lit(0))
     part = F.array_join(F.flatten(F.transform("_d._ranges", lambda r: F.slice(words, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), " ")
-    new = F.when(F.col("_d._ranges").isNull(), F.col(text)).otherwise(part)
-    out = out.withColumn("_new", new).withColumn("_to", F.col("_d._shard")).withColumn("_pass", F.col("_d.pass"))
-    cols = [F.col("_new").alias(c) if c == text else
-            F.when(F.col("_d._ranges").isNull(), F.col(c)).otherwise(F.char_length("_new")).cast(docs.schema[c].dataType).alias(c)
-            if c == "n_chars" else F.col(c) for c in docs.columns]
-    out = out.repartition("_to").sortWithinPartitions("_to", F.xxhash64("_key", "_pass", F.lit(seed)))
-    return out.select(*cols)
+    whole = F.col("_d._ranges").isNull()
+    out = out.withColumn("_new", F.when(whole, F.col("row")[text]).otherwise(part))
+    out = out.repartition(F.col("_d._shard")).sortWithinPartitions(F.col("_d._shard"), F.xxhash64("_key", F.col("_d.pass"), F.lit(seed)))
+    fitted = {text: F.col("_new"), "n_chars": F.when(whole, F.col("row.n_chars")).otherwise(F.char_length("_new")) if "n_chars" in docs.columns else None}
+    return out.select(*[(fitted[c].cast(docs.schema[c].dataType) if c in fitted else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op8_mix_tree(spark, sf_dir: str) -> DataFrame:

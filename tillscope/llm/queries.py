@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tillscope.llm import (fm_decontam, host_reputation, label_shards, mix_tree, scaled_sketch, simhash_planes,
-                           unigram_langid)
+from tillscope.llm import (cooccur_sanitise, fm_decontam, host_reputation, label_shards, mix_tree, scaled_sketch,
+                           secret_links, simhash_planes, unigram_langid, wrapper_extract)
 
 QUERIES = {
     "op1_fm_decontamination": fm_decontam.op1_fm_decontamination,
+    "op2_secret_links": secret_links.op2_secret_links,
     "op3_host_reputation": host_reputation.op3_host_reputation,
+    "op4_wrapper_extract": wrapper_extract.op4_wrapper_extract,
+    "op5_cooccur_sanitise": cooccur_sanitise.op5_cooccur_sanitise,
     "op6_simhash_components": simhash_planes.op6_simhash_components,
     "op7_unigram_langid": unigram_langid.op7_unigram_langid,
     "op8_mix_tree": mix_tree.op8_mix_tree,

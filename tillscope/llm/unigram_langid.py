@@ -254,25 +254,26 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     return Model(languages, np.log(n / n.sum()), p, pieces)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its posterior, called ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    keep = [c for c in docs.columns if c not in names]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
             got = [scorer.score(t) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([g[0] for g in got], pa.string()),
-                                              pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
+                                              pa.array([g[1] for g in got], pa.float64())], [*keep, *names])
 
     return docs.select(*keep).mapInArrow(run, schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """``docs`` without those in no known language (``und``) or with a posterior below ``least``."""
-    return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    found = predict(docs, model, names=("__lang", "__score"))
+    return found.where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*docs.columns)
 
 
 def op7_unigram_langid(spark, sf_dir: str) -> DataFrame:
