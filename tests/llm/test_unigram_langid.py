@@ -1,0 +1,91 @@
+import itertools
+import zlib
+
+import numpy as np
+
+from tests.llm.helpers import DOCS, empty_docs, odd_docs
+from tillscope.llm import unigram_langid as M
+
+PIECES = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "▁a", "▁ab", "ba"])}
+
+
+def every_cut(word):
+    for cuts in itertools.product([0, 1], repeat=len(word) - 1):
+        parts, last = [], word[0]
+        for c, cut in zip(word[1:], cuts):
+            if cut:
+                parts.append(last)
+                last = c
+            else:
+                last += c
+        yield [*parts, last]
+
+
+def weight(parts, p):
+    out = 1.0
+    for x in parts:
+        out *= p[PIECES[x]] if x in PIECES else M.UNKNOWN if len(x) == 1 else 0.0
+    return out
+
+
+def test_forward_sums_all_segmentations():
+    rng = np.random.default_rng(0)
+    p = rng.random((9, 2))
+    p[7], p[8] = M.UNKNOWN, 0
+    words = ["ab", "aba", "bxa", "abbaab", "a"]
+    want = np.array([[np.log(sum(weight(c, p[:, k]) for c in every_cut("▁" + w))) for k in range(2)] for w in words])
+    lattice = M.Lattice(PIECES)
+    assert np.allclose(lattice.log_probability(words, p), want)
+    assert np.allclose(lattice._one("▁abbaab", p), want[3])
+
+
+def test_expected_counts():
+    p = np.random.default_rng(1).random(9)
+    p[7], p[8] = M.UNKNOWN, 0
+    want = np.zeros(9)
+    for w, n in (("abab", 3.0), ("ba", 2.0)):
+        cuts = [(c, weight(c, p)) for c in every_cut("▁" + w)]
+        total = sum(x for _, x in cuts)
+        for c, x in cuts:
+            for part in c:
+                if x:
+                    want[PIECES[part]] += n * x / total
+    assert np.allclose(M.Lattice(PIECES).expected(["abab", "ba"], [3.0, 2.0], p), want)
+
+
+def test_long_words_and_cache():
+    p = np.full((9, 2), 0.1)
+    p[7], p[8] = M.UNKNOWN, 0
+    p[1, 1] = 0.3
+    model = M.Model(["x", "y"], np.log([0.5, 0.5]), p, PIECES)
+    assert M.Scorer(model).score(["a" * 5000])[0][0] == "y"
+    texts = ["ab ba", "a b ab", "ba ba ab", "b"] * 3
+    small = M.Scorer(model, cache=1)
+    assert M.Scorer(model).score(texts) == [small.score([t])[0] for t in texts]
+
+
+def test_held_out_accuracy(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = M.predict(d, M.fit(d)).select("doc_id", "lang", "lang_pred", "score", M.held_out().alias("held")).collect()
+    assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r.held]
+    assert held and sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_training_ignores_held_out_rows(spark):
+    rows = [(i, "der die das und", "de" if zlib.crc32(str(i).encode()) % 4 != 2 else "wrong", None, None, None, None, None) for i in range(40)]
+    assert M.fit(spark.createDataFrame(rows, DOCS)).languages == ["de"]
+
+
+def test_odd_rows(spark):
+    d = odd_docs(spark)
+    model = M.fit(d)
+    got = M.predict(d, model)
+    assert got.columns == [*d.columns, "lang_pred", "score"] and got.count() == d.count()
+    assert {(r.lang_pred, r.score) for r in got.where("text is null or trim(text) = ''").collect()} <= {("und", 0.0)}
+    kept = M.keep_identified(d, model)
+    assert kept.columns == d.columns and kept.where("text is null").count() == 0 and kept.where("doc_id = 1").count() == 2
+    none = M.fit(empty_docs(spark))
+    assert none.languages == [] and {r.lang_pred for r in M.predict(d, none).collect()} == {"und"}
+    assert M.predict(empty_docs(spark), none).count() == 0
+    assert M.letter_words("12 34 ²") == [] and M.letter_words("a1b") == ["a", "b"]

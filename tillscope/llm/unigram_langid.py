@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -61,18 +62,33 @@ class Lattice:
     def __init__(self, pieces: dict[str, int]):
         self.pieces, self.n = pieces, len(pieces)
         self.longest = max(map(len, pieces), default=1)
+        # pieces and their beginnings: a stretch that begins no piece ends the search for longer ones
+        self.begins = {p[:k]: self.n + 1 for p in pieces for k in range(1, len(p))}
+        self.begins.update(pieces)
 
     def of(self, words: list[str]) -> np.ndarray:
         """ids[w, end - 1, length - 1] for words of one length (start mark included)."""
-        size = len(words[0])
+        size, n, get = len(words[0]), self.n, self.begins.get
         reach = min(size, self.longest)
-        get, none, unknown = self.pieces.get, self.n + 1, self.n
-        flat = []
+        ids = np.full((len(words), size, reach), n + 1, np.int32)
+        ids[:, :, 0] = n
+        at: list[int] = []
+        found: list[int] = []
+        base, step = 0, reach + 1
         for w in words:
-            for j in range(1, size + 1):
-                flat.append(get(w[j - 1: j], unknown))
-                flat.extend([get(w[j - k: j], none) if k <= j else none for k in range(2, reach + 1)])
-        return np.array(flat, np.int32).reshape(len(words), size, reach)
+            for i in range(size):
+                place = base + i * reach
+                for k in range(i + 1, min(i + reach, size) + 1):
+                    piece = get(w[i:k])
+                    if piece is None:
+                        break
+                    if piece < n:
+                        at.append(place)
+                        found.append(piece)
+                    place += step
+            base += size * reach
+        ids.reshape(-1)[at] = found
+        return ids
 
     @staticmethod
     def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -154,38 +170,33 @@ class Model:
 class Scorer:
     """Scores texts; remembers up to ``cache`` words."""
 
-    def __init__(self, model: Model, cache: int = 300_000):
+    def __init__(self, model: Model, cache: int = 500_000):
         self.m, self.lattice, self.cache = model, Lattice(model.pieces), cache
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.m.languages)))
-        self.known = 0
+        self.table = np.zeros((0, len(self.m.languages)))
 
-    def score(self, text: str | None) -> tuple[str, float]:
-        words = letter_words(text)
-        if not words or not self.m.languages:
-            return "und", 0.0
+    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, posterior) of each text; words seen for the first time are scored together."""
         if len(self.number) > self.cache:
             self._clear()
-        number = self.number
-        ids = [number.setdefault(w, len(number)) for w in words]
-        if len(number) > self.known:
-            new = list(number)[self.known:] if self.known == 0 else self._tail(words)
-            if len(number) > len(self.table):
-                grown = np.zeros((max(2 * len(self.table), len(number)), self.table.shape[1]))
-                grown[: self.known] = self.table[: self.known]
-                self.table = grown
-            self.table[self.known: len(number)] = self.lattice.log_probability(new, self.m.p)
-            self.known = len(number)
-        total = self.m.prior + self.table[np.array(ids)].sum(0)
-        best = int(total.argmax())
-        return self.m.languages[best], float(1 / np.exp(total - total[best]).sum())
-
-    def _tail(self, words: list[str]) -> list[str]:
-        """The words numbered since the last call, in order of their numbers."""
-        return [w for w in dict.fromkeys(words) if self.number[w] >= self.known]
+        number, known, ids = self.number, len(self.number), []
+        for t in texts:
+            ids.append(np.array([number.setdefault(w, len(number)) for w in letter_words(t)], np.int64))
+        if len(number) > known and self.m.languages:
+            new = list(islice(number, known, None))
+            self.table = np.concatenate([self.table, self.lattice.log_probability(new, self.m.p)])
+        out = []
+        for i in ids:
+            if not len(i) or not self.m.languages:
+                out.append(("und", 0.0))
+                continue
+            total = self.m.prior + self.table[i].sum(0)
+            best = int(total.argmax())
+            out.append((self.m.languages[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -194,7 +205,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", vocabulary: str = VOCABULARY,
-        fit_rows: int = 2000, rounds: int = 3, smooth: float = 0.1) -> Model:
+        fit_rows: int = 1000, rounds: int = 3, smooth: float = 0.1) -> Model:
     """Learn from labelled documents that are not held out."""
     spark, pieces = docs.sparkSession, load_pieces(vocabulary)
     train = docs.select(F.col(doc_id), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")) \
@@ -263,7 +274,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            got = [scorer.score(t) for t in batch.column(text).to_pylist()]
+            texts = batch.column(text).to_pylist()
+            got = [g for at in range(0, len(texts), 500) for g in scorer.score(texts[at: at + 500])]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([g[0] for g in got], pa.string()),
                                               pa.array([g[1] for g in got], pa.float64())], [*keep, *names])
 
