@@ -45,7 +45,7 @@ def test_base_findings(spark):
 
 def corpus():
     out = [f"Contact Zebrafish Smithson at boss@corp.example please number {i}" for i in range(4)]
-    out += [f"Please contact the desk of number{'x' * i}" for i in range(30)]
+    out += [f"Please contact the desk of number {'x' * i}" for i in range(30)]
     out += [f"Smithson writes about gardens{'y' * i}" for i in range(2)]
     return out + ["rare lonely words once@corp.example here"] + ["nothing at all"] * 10
 

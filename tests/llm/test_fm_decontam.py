@@ -35,7 +35,7 @@ def bench(spark, items):
 def test_index_counts_and_places():
     rng = random.Random(1)
     for _ in range(30):
-        seq = np.array([rng.choice([0, 1, 2, 3]) for _ in range(rng.randint(1, 120))])
+        seq = np.array([rng.choice([0, 1, 2, 3]) for _ in range(rng.randint(1, 120))] + [0])
         index = M.FMIndex(seq, 3, sample=5)
         for n in (1, 2, 3):
             phrases = np.array([[rng.randint(1, 3) for _ in range(n)] for _ in range(8)])

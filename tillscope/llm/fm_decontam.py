@@ -75,7 +75,7 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """FM-index of a sequence of symbols >= 1 in which every 0 is a break that equals nothing."""
+    """FM-index of a sequence of symbols >= 1 in which every 0 is a break that equals nothing; it ends with a break."""
 
     def __init__(self, seq: np.ndarray, n_symbols: int, sample: int = 8):
         n = len(seq)
