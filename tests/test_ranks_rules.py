@@ -25,11 +25,6 @@ def test_quartile_collapse_fails(spark):
         U.rfm_scores(rfm(spark, [1, 1, 1, 1, 1, 1, 2, 3])).collect()
 
 
-def test_average_rank_pct(spark):
-    s = U.rfm_scores(rfm(spark, [1, 2, 3, 4], mon=[1.0, 2.0, 2.0, 3.0])).orderBy("CustomerID").collect()
-    assert [r["M_Pct"] for r in s] == [0.25, 0.625, 0.625, 1.0]
-
-
 def test_global_position_matches_sort(spark):
     import random
     rnd = random.Random(3)
@@ -81,11 +76,8 @@ def test_trend_zero(spark):
     assert [r["t"] for r in df.select(rules.trend(F.col("c"), F.col("p")).alias("t")).collect()] == [0.0, 50.0]
 
 
-def test_table_name(spark):
-    df = spark.createDataFrame([("Stage 5--Eval (x)",), ("***",)], "s string")
-    assert [r["t"] for r in df.select(text.table_name(F.col("s")).alias("t")).collect()] == ["stage_5_eval_x", "artifact"]
-    from tillscope.sources.catalog import table_name_of
-    assert table_name_of("/a/b/Stage 5--Eval (x).csv") == "stage_5_eval_x"
+def test_table_name():
+    assert [text.table_name(t) for t in ("Stage 5--Eval (x)", "--", "a_b__C")] == ["stage_5_eval_x", "artifact", "a_b_c"]
 
 
 def test_infer_types(spark):

@@ -7,12 +7,12 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillscope.schema import SEGMENT_IDS, SEGMENT_STORIES
+from tillscope.schema import CHAMPION_PERCENTILE, SEGMENT_IDS, SEGMENT_STORIES
 
 
 def segment_name(r: Column, f: Column, m: Column, m_pct: Column) -> Column:
     """RFM segment, first matching rule wins."""
-    return (F.when(m_pct >= 0.95, "Champions")
+    return (F.when(m_pct >= CHAMPION_PERCENTILE, "Champions")
             .when((r == 4) & (f == 4) & (m >= 3), "Champions")
             .when((r >= 3) & (f >= 3) & (m >= 3), "Loyal Customers")
             .when((r == 1) & ((f >= 3) | (m >= 3)), "At Risk")
@@ -40,12 +40,6 @@ def trend(cur: Column, prev: Column) -> Column:
         F.round((cur - prev).cast("double") / prev.cast("double") * 100, 1))
 
 
-def safe_int(c: Column, default: int = 0) -> Column:
-    """int(x), else int(float(x)), else a default."""
-    return F.coalesce((c.cast("string")).try_cast("bigint"),
-                      (c.cast("string")).try_cast("double").cast("bigint"), F.lit(default))
-
-
 def segment_story(freq: Column, total_spend: Column, avg_basket: Column, global_basket: Column) -> Column:
     s = SEGMENT_STORIES
     return (F.when(freq > 50, s[0])

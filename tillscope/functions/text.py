@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ def tokens(description: Column) -> Column:
 
 def plural_root(t: Column) -> Column:
     """Root of an English word for grouping surface forms: the plural step of the
-    Snowball English stemmer (sses -> ss; ied/ies -> i, or ie for short words; us and
-    ss stay; a final s goes when a vowel occurs before the letter preceding it)."""
+    Snowball English stemmer (sses -> ss; ied/ies -> i, or ie for short words; xes, zes, ches and
+    shes lose es, so that boxes meets box; us and ss stay; a final s goes when a vowel occurs before the letter preceding it)."""
     n = F.length(t)
 
     def cut(k):
@@ -28,15 +30,13 @@ def plural_root(t: Column) -> Column:
 
     return (F.when(t.endswith("sses"), cut(2))
             .when(t.endswith("ied") | t.endswith("ies"), F.when(n > 4, cut(2)).otherwise(cut(1)))
+            .when(t.rlike("(x|z|ch|sh)es$"), cut(2))
             .when(t.endswith("us") | t.endswith("ss"), t)
             .when(t.endswith("s") & cut(2).rlike(VOWELS), cut(1))
             .otherwise(t))
 
 
-def table_name(stem: Column) -> Column:
-    """File stem -> table name: lower case, spaces and other characters outside
-    [a-z0-9_] become '_', runs collapse, edges trimmed; empty -> 'artifact'."""
-    s = F.regexp_replace(F.lower(stem), " ", "_")
-    s = F.regexp_replace(s, "[^a-z0-9_]+", "_")
-    s = F.regexp_replace(F.regexp_replace(s, "_+", "_"), "^_+|_+$", "")
-    return F.when(s == "", F.lit("artifact")).otherwise(s)
+def table_name(stem: str) -> str:
+    """File stem -> table name: lower case, every run outside [a-z0-9] is one '_', edges trimmed;
+    empty -> 'artifact'."""
+    return re.sub("[^a-z0-9]+", "_", stem.lower()).strip("_") or "artifact"

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.timecols import micros
+from tillscope.session import ensure_checkpoint_dir
 
 _KEYS = ["CustomerID", "sk", "lvl", "node"]
 
@@ -60,6 +61,8 @@ def match_cancellations(lines: DataFrame, bucket_seconds: int = 86_400) -> DataF
     AbsQuantity, neg_time_us, pos_time_us."""
     neg = negative_candidates(lines).withColumn("sk", _stock_key())
     pos = positive_candidates(lines).withColumn("sk", _stock_key())
+    # only purchases of a customer and item that has a cancellation can be hit
+    pos = pos.join(neg.select("CustomerID", "sk").distinct(), ["CustomerID", "sk"], "left_semi")
     bucket_us = bucket_seconds * 1_000_000
 
     # L = bit length of the largest cancelled quantity (scalar subquery, run once)
@@ -86,6 +89,8 @@ def match_cancellations(lines: DataFrame, bucket_seconds: int = 86_400) -> DataF
                          F.lit(1).alias("kind"),
                          F.lit(None).cast("struct<neg_t:bigint,key:string>").alias("cand"), "neg_key"))
     u = pos_nodes.unionByName(neg_nodes).withColumn("bucket", F.floor(F.col("t") / F.lit(bucket_us)))
+    ensure_checkpoint_dir(u.sparkSession)
+    u = u.checkpoint(eager=True)   # read by both levels below
 
     # level 1: best positive per (key, node, bucket), carried over earlier buckets
     summary = (u.groupBy(*_KEYS, "bucket")

@@ -9,6 +9,7 @@ from tillscope.functions.rules import segment_id, segment_name
 from tillscope.functions.timecols import DAY_US, micros
 from tillscope.operators.ranking import first_rank_quartile, global_position
 from tillscope.schema import CATEG_COLS
+from tillscope.session import ensure_checkpoint_dir
 
 
 def customer_rollup(baskets: DataFrame, n_groups: int = 5, guard_zero: bool = True) -> DataFrame:
@@ -40,7 +41,12 @@ def rfm_metrics(train_baskets: DataFrame, n_groups: int = 5) -> DataFrame:
 def rfm_scores(rfm: DataFrame) -> DataFrame:
     """R (quartiles of raw recency, 4 = most recent), F and M (quartiles of
     first-come rank), M_Pct (average-rank percentile of spend).  Collapsed quartile
-    edges fail the job, like the reference."""
+    edges fail the job, like the reference.
+
+    ``rfm`` is fixed first: sums of prices depend on the order of summation in their last digit, so a second
+    evaluation could differ, and rows matched on Monetary would be lost."""
+    ensure_checkpoint_dir(rfm.sparkSession)
+    rfm = rfm.checkpoint(eager=True)
     n = rfm.agg(F.count(F.lit(1))).scalar()
     edges = rfm.agg(F.struct(
         F.min("Recency").cast("double").alias("lo"),
@@ -50,14 +56,16 @@ def rfm_scores(rfm: DataFrame) -> DataFrame:
     collapsed = ((edges["lo"] == q[0]) | (q[0] == q[1]) | (q[1] == q[2]) | (q[2] == edges["hi"]))
     rec = F.col("Recency").cast("double")
     r_score = (F.when(collapsed, F.raise_error(F.lit("recency quartile edges collapse")).cast("double"))
-               .when(rec <= q[0], 4.0).when(rec <= q[1], 3.0).when(rec <= q[2], 2.0).otherwise(1.0))
+               .when(rec <= q[0], 4.0).when(rec <= q[1], 3.0).when(rec <= q[2], 2.0).when(rec.isNotNull(), 1.0))
+    # a customer without recency gets the mean score
+    r_score = F.coalesce(r_score, rfm.agg(F.avg(r_score)).scalar())
 
     f_pos = global_position(rfm.select("CustomerID", "Frequency"), ["Frequency", "CustomerID"], "f_pos")
     m_pos = global_position(rfm.select("CustomerID", "Monetary"), ["Monetary", "CustomerID"], "m_pos")
+    # ties meet inside m_pos (one checkpointed evaluation); everything else joins on the customer
     m_ties = m_pos.groupBy("Monetary").agg(((F.min("m_pos") + F.max("m_pos")) / 2.0).alias("m_avg"))
     return (rfm.join(f_pos.select("CustomerID", "f_pos"), "CustomerID")
-            .join(m_pos.select("CustomerID", "m_pos"), "CustomerID")
-            .join(m_ties, "Monetary")
+            .join(m_pos.join(m_ties, "Monetary").select("CustomerID", "m_pos", "m_avg"), "CustomerID")
             .withColumn("R_Score", r_score)
             .withColumn("F_Score", first_rank_quartile(F.col("f_pos"), n))
             .withColumn("M_Score", first_rank_quartile(F.col("m_pos"), n))

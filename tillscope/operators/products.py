@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, VectorAssembler
@@ -40,7 +43,7 @@ def product_keywords(prods: DataFrame) -> DataFrame:
     return (inv.where(~F.col("keyword").isin(STOP_KEYWORDS) & (F.length("keyword") >= 3)
                       & (F.col("doc_count") >= floor) & ~F.col("keyword").contains("+")
                       & ~F.col("keyword").contains("/"))
-            .select("keyword", "doc_count"))
+            .select("keyword", "doc_count").orderBy(F.desc("doc_count"), "keyword"))   # a bounded list
 
 
 def price_bands(prods: DataFrame) -> DataFrame:
@@ -69,22 +72,28 @@ def product_features(prods: DataFrame, keywords: DataFrame) -> DataFrame:
         .select("Description", "features")
 
 
-def cluster_products(features: DataFrame, k: int = 5, floor: float = 0.145, attempts: int = 5):
-    """KMeans(k) with up to ``attempts`` seeds, stopping at the first silhouette at or
-    above ``floor``; the best model is kept.  Returns (map, model, silhouette, seed).
+def cluster_products(features: DataFrame, k: int = 5, floor: float = 0.145, attempts: int = 5, starts: int = 30):
+    """KMeans(k) with up to ``attempts`` seeds, each the best of ``starts`` initialisations by cost, stopping at the first
+    silhouette at or above ``floor``; the best model is kept.  Returns (map, model, silhouette, seed).
 
-    Silhouette is Spark's (squared Euclidean), computed from cluster statistics.
+    Silhouette is Spark's (squared Euclidean, computed from cluster statistics), so ``floor`` is a floor for this
+    measure; a warning says when no seed reaches it.  Initialisations are independent jobs, submitted together.
     """
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
     feats = features.persist()
     best = None
     for seed in range(attempts):
-        model = KMeans(k=k, seed=seed, featuresCol="features", maxIter=50).fit(feats)
+        def fit(i: int, seed: int = seed):
+            return KMeans(k=k, seed=1000 * seed + i, featuresCol="features", maxIter=300).fit(feats)
+        with ThreadPoolExecutor(max_workers=8) as pool:
+            model = min(pool.map(fit, range(starts)), key=lambda m: m.summary.trainingCost)
         sil = ev.evaluate(model.transform(feats))
         if best is None or sil > best[1]:
             best = (model, sil, seed)
         if sil >= floor:
             break
     model, sil, seed = best
+    if sil < floor:
+        warnings.warn(f"product groups: silhouette {sil:.3f} is below {floor}", stacklevel=2)
     mapping = model.transform(feats).select("Description", F.col("prediction").cast("int").alias("categ_product"))
     return mapping, model, sil, seed

@@ -45,12 +45,3 @@ def first_rank_quartile(pos: Column, n: Column) -> Column:
     e = [F.lit(1.0) + (n - 1).cast("double") * k / 4 for k in (1, 2, 3)]
     return (F.when(n < 2, F.raise_error(F.lit("quartile edges collapse: fewer than two rows")).cast("double"))
             .when(pos <= e[0], 1.0).when(pos <= e[1], 2.0).when(pos <= e[2], 3.0).otherwise(4.0))
-
-
-def average_rank_pct(df: DataFrame, value: str, key: str, n: Column, name: str = "pct") -> DataFrame:
-    """pandas ``rank(pct=True)``: mean rank of the tie group over n.  Ties are found
-    with a grouped aggregate joined back (AQE splits a hot value), not a window."""
-    pos = global_position(df.select(key, value), [value, key], "_p")
-    ties = pos.groupBy(value).agg(((F.min("_p") + F.max("_p")) / 2.0).alias("_avg"))
-    return (df.join(ties, value, "left")
-            .withColumn(name, F.col("_avg") / n.cast("double")).drop("_avg"))

@@ -17,8 +17,9 @@ from tillscope.operators import cancellation as C
 from tillscope.operators import cleaning as D
 from tillscope.operators import customers as U
 from tillscope.params import Params, driver_params
-from tillscope.session import ensure_checkpoint_dir
+from tillscope.session import ensure_checkpoint_dir, work_path
 from tillscope.sources import driver_tables as T
+from tillscope.sources.results import write_by_month
 
 _CACHE: dict[tuple, "Context"] = {}
 
@@ -49,7 +50,9 @@ class Context:
         return self._get("matches", lambda: C.match_cancellations(self.dedup(), self.p.match_bucket_seconds))
 
     def clean(self) -> DataFrame:
-        return self._get("clean", lambda: C.clean_lines(self.dedup(), self.matches()), checkpoint=True)
+        """The cleaned lines, partitioned by month (with the partition column ``invoice_month``)."""
+        return self._get("clean", lambda: write_by_month(C.clean_lines(self.dedup(), self.matches()),
+                                                         work_path(self.spark, "clean")), persist=False)
 
     def stand_in_map(self) -> DataFrame:
         return self._get("stand_in_map", lambda: B.stand_in_product_map(self.clean()))

@@ -414,6 +414,7 @@ SELECT root, count(DISTINCT Description) AS doc_count, first(t0 ORDER BY length(
     CASE WHEN suffix(t0, 'sses') THEN left(t0, length(t0) - 2)
       WHEN suffix(t0, 'ied') OR suffix(t0, 'ies') THEN
         CASE WHEN length(t0) > 4 THEN left(t0, length(t0) - 2) ELSE left(t0, length(t0) - 1) END
+      WHEN regexp_matches(t0, '(x|z|ch|sh)es$') THEN left(t0, length(t0) - 2)
       WHEN suffix(t0, 'us') OR suffix(t0, 'ss') THEN t0
       WHEN suffix(t0, 's') AND regexp_matches(left(t0, length(t0) - 2), '[aeiouy]') THEN left(t0, length(t0) - 1)
       ELSE t0 END AS root

@@ -13,6 +13,7 @@ from tillscope.operators import customers as U
 from tillscope.operators import baskets as B
 from tillscope.plans import oracle as O
 from tillscope.plans.context import context
+from tillscope.sources.results import MONTH
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,7 +63,7 @@ def q_unmatched(spark, sf):
 
 @register("clean_transactions", O.sql("SELECT * FROM clean"))
 def q_clean(spark, sf):
-    return context(spark, sf).clean()
+    return context(spark, sf).clean().drop(MONTH)
 
 
 # ---- stage 4 ----
@@ -207,7 +208,9 @@ def q_repeat(spark, sf):
     "SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS period FROM orders WHERE o_orderdate IS NOT NULL"))
 def q_preview(spark, sf):
     from tillscope.sources.driver_tables import read_table
-    return R.upload_preview_periods(read_table(spark, sf, "orders").select("o_orderdate"), "o_orderdate")
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "M/d/yyyy H:mm")).otherwise(
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    return R.upload_preview_periods(read_table(spark, sf, "orders").select(text.alias("Invoice_Date")))
 
 
 @register("segment_summary", O.segment_summary_sql(None))
@@ -240,6 +243,12 @@ def q_prod_summary(spark, sf):
     return R.product_cluster_summary(c.stand_in_map(), c.clean(), None)
 
 
+@register("product_cluster_relative_share", O.sql(
+    "SELECT id, share, round(share / max(share) OVER () * 100, 1) AS relative_share FROM (" + O.product_summary_sql(None) + ") z"))
+def q_prod_relative(spark, sf):
+    return R.relative_to_largest(q_prod_summary(spark, sf)).select("id", "share", "relative_share")
+
+
 @register("product_cluster_names", O.sql("SELECT id, name FROM (" + O.product_summary_sql(None) + ") z"))
 def q_prod_names(spark, sf):
     return q_prod_summary(spark, sf).select("id", "name")
@@ -377,7 +386,7 @@ def q_catalog(spark, sf):
     c.profile().write.mode("overwrite").option("header", True).csv(f"{folder}/Stage 4--Customers (train).csv")
     c.test().write.mode("overwrite").option("header", True).csv(f"{folder}/stage4_set_test.csv")
     _keywords(c).write.mode("overwrite").option("header", True).csv(f"{folder}/stage3/keywords.csv")
-    return CAT.load_results(spark, folder, work_path(spark, "tables"))
+    return CAT.load_results(spark, folder, work_path(spark, "tables")).drop("source")   # paths differ on every run
 
 
 @register("export_product_cluster", O.sql("SELECT Description, categ_product AS ClusterID FROM pmap WHERE categ_product = 0"))
@@ -417,10 +426,15 @@ def ml_split(c, grid: str = ML_GRID) -> dict:
     return st
 
 
-def ml_state(c, grid: str = ML_GRID) -> dict:
+def ml_state(c, grid: str = ML_GRID, names: tuple[str, ...] = M.FAMILIES) -> dict:
+    """The split and the fitted families ``names`` (a family is fitted when it is first asked for)."""
     st = ml_split(c, grid)
-    if "fitted" not in st:
-        st["fitted"] = M.fit_suite(st["split"], grid, c.p.seed)
+    fitted = st.setdefault("fitted", {})
+    missing = tuple(n for n in names if n not in fitted)
+    if missing:
+        fitted.update(M.fit_suite(st["split"], grid, c.p.seed, names=missing))
+    if {"RF", "GB", "KNN"} <= set(fitted):
+        fitted["VOTE"] = M.vote(fitted)
     return st
 
 
@@ -440,7 +454,7 @@ def ml_eval(c) -> tuple[DataFrame, DataFrame]:
 
 
 def ml_shap(c) -> tuple[DataFrame, DataFrame]:
-    st = ml_state(c)
+    st = ml_state(c, names=("RF", "GB", "LR", "KNN"))
     if "shap" not in st:
         fitted = st["fitted"]
         x = st["test_rows"]
@@ -453,13 +467,16 @@ def ml_shap(c) -> tuple[DataFrame, DataFrame]:
         phis = {}
         for short, name in EXPLAINED_MODELS.items():
             f = fitted[short]
-            if short == "VOTE":
+            if short == "LR":
+                w = f.model.coefficientMatrix.toArray().tolist()
+                w += [[0.0] * len(FEATURE_COLS)] * (M.N_CLASSES - len(w))
+                v = SH.linear_values(explain, background, w, classes).checkpoint(eager=True)
+            elif short == "VOTE":
                 # linearity: the vote's values are the mean of its members' values
                 knn = SH.shapley(fitted["KNN"].score(pts), M.N_CLASSES, classes)
                 v = SH.mean_of([phis["RF"], phis["GB"], knn], M.N_CLASSES, classes).checkpoint(eager=True)
             else:
-                scored = M.raw_margins(f, pts) if short == "LR" else f.score(pts)
-                v = SH.shapley(scored, M.N_CLASSES, classes).checkpoint(eager=True)
+                v = SH.shapley(f.score(pts), M.N_CLASSES, classes).checkpoint(eager=True)
             phis[short] = v
             vals.append(v.select("CustomerID", F.lit(name).alias("model"),
                                  *[F.col(f"shap_{f_}") for f_ in FEATURE_COLS]))
@@ -473,7 +490,7 @@ def ml_shap(c) -> tuple[DataFrame, DataFrame]:
 
 @register("stratified_split")
 def q_split_strat(spark, sf):
-    return ml_split(context(spark, sf))["split"].select("CustomerID", "label", "part", "fold")
+    return ml_split(context(spark, sf))["split"].select("CustomerID", F.col("label").cast("int").alias("label"), "part", "fold")
 
 
 @register("training_features")
@@ -484,8 +501,8 @@ def q_train_features(spark, sf):
 @register("model_grid_search")
 def q_grid(spark, sf):
     fitted = ml_state(context(spark, sf))["fitted"]
-    rows = [(n, json.dumps({k: (float(v) if isinstance(v, float) else v) for k, v in f.params.items()}),
-             f.cv_accuracy) for n, f in fitted.items() if n != "VOTE"]
+    rows = [(n, json.dumps({k: (float(v) if isinstance(v, float) else v) for k, v in sorted(f.params.items())}),
+             f.cv_accuracy) for n, f in sorted(fitted.items()) if n != "VOTE"]
     return spark.createDataFrame(rows, "model string, best_params string, cv_accuracy double")
 
 
@@ -501,7 +518,7 @@ def q_model_pred(spark, sf):
 
 @register("shap_importance")
 def q_shap_imp(spark, sf):
-    return ml_shap(context(spark, sf))[0]
+    return ml_shap(context(spark, sf))[0].orderBy("model", F.desc("mean_abs_shap"), "feature")
 
 
 @register("shap_values")

@@ -45,6 +45,22 @@ PRICE_TAG_MID = "中価格"
 PRICE_TAG_PREMIUM = "プレミアム"
 NAME_JOIN = " ＆ "
 HIGH_RETURN_SUFFIX = "（返品多め）"
+# Clean-up of generated group names: (pattern, replacement), applied in order.
+GROUP_NAME_FIXES = [
+    (r"^\s+|\s+$", ""),
+    (r"\s*&\s*", NAME_JOIN),
+    (r"(?i)\bAnd\b\.?$", ""),
+    (r"^\s+|\s+$", ""),
+    (r"\s{2,}", " "),
+    (r"^[ \-_:;,./\\]+|[ \-_:;,./\\]+$", ""),
+    ("Budget", PRICE_TAG_LOW),
+    ("Mid-price", PRICE_TAG_MID),
+    ("Premium", PRICE_TAG_PREMIUM),
+    (r"\s*\(\s*", " ("),
+    (r"\s*\)\s*", ")"),
+]
+# Share of customers below a Champion by spend alone.
+CHAMPION_PERCENTILE = 0.95
 # Segment stories, in rule order, then the default.
 SEGMENT_STORIES = [
     "終極忠誠顧客，幾乎每天購買。請列為最高優先處理。",

@@ -33,27 +33,40 @@ def parse_invoice_date(c: Column, strict: bool = True) -> Column:
     return parsed
 
 
+def _column_of(names: list[str]) -> dict[str, str]:
+    """Invoice column -> column of the file, by name without case, spaces and underscores."""
+    plain = {n.lower().replace("_", "").replace(" ", "").lstrip("\ufeff").replace("ï»¿", ""): n for n in reversed(names)}
+    missing = [c for c in INVOICE_COLUMNS if c.lower() not in plain]
+    if missing:
+        raise ValueError(f"invoice file has no column {', '.join(missing)}")
+    return {c: plain[c.lower()] for c in INVOICE_COLUMNS}
+
+
 def read_invoices(spark: SparkSession, path: str, strict: bool = True,
                   has_line_key: bool = False) -> DataFrame:
-    """Read invoice lines.  Without a ``line_key`` column in the file one is made from
-    file order, so later stages never rely on row position.  A missing path raises at
-    once (AnalysisException)."""
-    schema = INVOICE_CSV_SCHEMA
-    if has_line_key:
-        schema = T.StructType(schema.fields + [T.StructField("line_key", T.StringType())])
-    raw = (spark.read.schema(schema).option("header", True)
-           .option("encoding", "ISO-8859-1").option("mode", "FAILFAST").csv(path))
+    """Read invoice lines by header name; further columns are ignored and quoted values may hold line breaks.
+
+    Without a ``line_key`` column in the file one is made from file order, so later stages never rely on row
+    position.  A missing path, a missing column or a file of another layout than the first fails the job.
+    """
+    options = {"header": True, "encoding": "ISO-8859-1", "mode": "FAILFAST", "multiLine": True, "escape": '"'}
+    names = spark.read.options(**options).csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    raw = spark.read.schema(schema).options(**options, enforceSchema=False).csv(path)
+    of, types = _column_of(names), {f.name: f.dataType for f in INVOICE_CSV_SCHEMA.fields}
+    cols = [F.col(f"`{of[c]}`").cast(types[c]).alias(c) for c in INVOICE_COLUMNS]
     if has_line_key:
-        return raw.withColumn("InvoiceDate", parse_invoice_date(F.col("InvoiceDate"), strict))
-    order = F.concat_ws(":", F.col("_metadata.file_name"),
-                        F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"),
-                        F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
-    return raw.select(*[F.col(c) for c in INVOICE_COLUMNS], order.alias("line_key")) \
+        key = F.col("line_key")
+    else:
+        key = F.concat_ws(":", F.col("_metadata.file_name"),
+                          F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"),
+                          F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+    return raw.select(*cols, key.alias("line_key")) \
               .withColumn("InvoiceDate", parse_invoice_date(F.col("InvoiceDate"), strict))
 
 
 def write_invoices(df: DataFrame, path: str) -> None:
     """Write lines as a Latin-1 CSV with an ISO date text."""
     out = df.withColumn("InvoiceDate", F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss"))
-    (out.write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1")
+    (out.write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1").option("escape", '"')
         .csv(path))

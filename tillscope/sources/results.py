@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillscope.functions.timecols import month_label
+
 
 def save_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> list[str]:
     """Write each table under ``folder/<name>`` (parquet, or csv with a header)."""
@@ -18,6 +20,17 @@ def save_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet")
     return paths
 
 
+MONTH = "invoice_month"
+
+
+def write_by_month(df: DataFrame, path: str, date: str = "InvoiceDate") -> DataFrame:
+    """Write a line table as Parquet partitioned by the month of ``date`` and read it back, so that period questions
+    prune partitions and columns.  Rebalancing keeps files whole and splits hot months."""
+    out = df.withColumn(MONTH, month_label(date))
+    out.hint("rebalance", MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(path)
+    return df.sparkSession.read.schema(out.schema).parquet(path)
+
+
 def save_metrics(spark: SparkSession, metrics: dict, path: str) -> None:
     """One-row JSON metrics file (values as written, nested dicts kept)."""
     spark.createDataFrame([(json.dumps(metrics),)], "value string").coalesce(1).write.mode("overwrite").text(path)

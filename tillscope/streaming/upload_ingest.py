@@ -1,7 +1,6 @@
 """Incremental ingest of invoice CSV drops (the upload step) with Structured Streaming.
 
-New files in an upload folder are read as a file stream (fixed schema, Latin-1,
-header) and each micro-batch is written as one ``epoch=<id>`` partition of the raw
+New files in an upload folder arrive as a stream of paths; each is read by its own header (Latin-1), and each micro-batch is written as one ``epoch=<id>`` partition of the raw
 line table (overwrite of that partition, so a retried batch is idempotent).  The
 months seen in each batch are kept in a second table for the upload preview.  The
 batch stages (dedup, cancellation match, ...) then read the raw table.
@@ -13,16 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tillscope.schema import INVOICE_COLUMNS, INVOICE_CSV_SCHEMA
-from tillscope.sources.invoice_csv import parse_invoice_date
+from tillscope.sources.invoice_csv import read_invoices
 
 
 def _land(table_path: str, months_path: str):
     def handle(batch: DataFrame, epoch: int) -> None:
-        order = F.concat_ws(":", F.col("_file"), F.lpad(F.col("_block").cast("string"), 20, "0"),
-                            F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
-        lines = batch.select(*INVOICE_COLUMNS, order.alias("line_key")) \
-                     .withColumn("InvoiceDate", parse_invoice_date(F.col("InvoiceDate"), strict=False))
+        spark = batch.sparkSession
+        lines = None
+        for r in sorted(batch.select("path").collect()):   # the files of one batch, each with its own header
+            one = read_invoices(spark, r["path"], strict=False)
+            lines = one if lines is None else lines.unionByName(one)
+        if lines is None:
+            return
         lines.write.mode("overwrite").parquet(f"{table_path}/epoch={epoch}")
         (lines.select(F.date_format("InvoiceDate", "yyyy-MM").alias("period")).where("period IS NOT NULL")
          .distinct().write.mode("overwrite").parquet(f"{months_path}/epoch={epoch}"))
@@ -31,10 +32,9 @@ def _land(table_path: str, months_path: str):
 
 def start_upload_ingest(spark: SparkSession, upload_dir: str, table_path: str, months_path: str,
                         checkpoint_path: str, available_now: bool = True) -> StreamingQuery:
-    stream = (spark.readStream.schema(INVOICE_CSV_SCHEMA).option("header", True)
-              .option("encoding", "ISO-8859-1").option("pathGlobFilter", "*.csv").csv(upload_dir)
-              .select("*", F.col("_metadata.file_name").alias("_file"),
-                      F.col("_metadata.file_block_start").alias("_block")))
+    schema = spark.read.format("binaryFile").load(upload_dir).schema
+    stream = (spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.csv")
+              .load(upload_dir).select("path"))
     w = stream.writeStream.foreachBatch(_land(table_path, months_path)).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="3 seconds")
     return w.start()
