@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from tillscope.llm import fm_decontam, host_reputation as M
+from tillscope.llm import fm_decontam, host_reputation as M, secret_links
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,7 +75,8 @@ def test_odd_rows(spark):
     assert sorted((r.host, r.bad) for r in out.collect()) == [("a.com", 1), ("b.com", 0)]
 
 
-@pytest.mark.parametrize("query, sql", [(M.op3_host_reputation, M.ORACLE), (fm_decontam.op1_fm_decontamination, fm_decontam.ORACLE)])
+@pytest.mark.parametrize("query, sql", [(M.op3_host_reputation, M.ORACLE), (fm_decontam.op1_fm_decontamination, fm_decontam.ORACLE),
+                                        (secret_links.op2_secret_links, secret_links.ORACLE)])
 def test_oracles(spark, query, sql):
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark", "labels"):

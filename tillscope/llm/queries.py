@@ -19,5 +19,6 @@ QUERIES = {
 }
 ORACLE = {
     "op1_fm_decontamination": fm_decontam.ORACLE,
+    "op2_secret_links": secret_links.ORACLE,
     "op3_host_reputation": host_reputation.ORACLE,
 }

@@ -105,3 +105,35 @@ def op2_secret_links(spark, sf_dir: str) -> DataFrame:
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
                         F.sha2(span_list(F.concat(*BASE)), 256).alias("base_sha256"), span_list(F.concat(*BASE, "linked")).alias("spans"))
+
+
+def _sql_spans(kind: str, pattern: str, group: int = 0, keep: str = "true") -> str:
+    """Spans of one kind: the matches and the text between them alternate."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {list(KINDS).index(kind)} AS no, '{kind}' AS kind, '{KINDS[kind]}' AS role, s AS "start", s + length(m[i]) AS "end" FROM (
+  SELECT doc_id, m, v, i, (list_sum(list_transform(g[:i], lambda x: length(x)))
+    + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM (
+    SELECT doc_id, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {group}) AS v,
+        string_split_regex(text, '{p}') AS g FROM documents WHERE regexp_matches(text, '{p}')))) WHERE {keep}"""
+
+
+ORACLE = "WITH base AS (" + " UNION ALL ".join([
+    _sql_spans("assign", ASSIGN.replace("*+", "*"), 1, "length(v[i]) >= 6"), _sql_spans("access", ACCESS), _sql_spans("hex", HEX)]) + """),
+weak AS (""" + " UNION ALL ".join([
+    _sql_spans("weak_secret", "[A-Za-z0-9+/]{20,}", 0, "regexp_matches(v[i], '[0-9]') AND regexp_matches(v[i], '[A-Za-z]')"),
+    _sql_spans("identifier", IDENTIFIER.replace("*+", "*")), _sql_spans("endpoint", ENDPOINT.replace("*+", "*"))]) + """),
+parts AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
+seen AS (SELECT w.doc_id, w.no, w.kind, w.role, w."start", w."end", bool_or(p.role = 'identifier') AS id, bool_or(p.role = 'secret') AS secret,
+  bool_or(p.no < 3 AND p."start" < w."end" AND p."end" > w."start") AS inside
+  FROM weak w JOIN parts p ON p.doc_id = w.doc_id AND p."start" <= w."end" + 200 AND p."end" >= w."start" - 200
+  GROUP BY ALL),
+linked AS (SELECT doc_id, no, kind, role, "start", "end" FROM seen WHERE (role = 'secret' AND id AND NOT inside)
+  OR (role = 'identifier' AND secret) OR (role = 'endpoint' AND id AND secret)),
+b AS (SELECT doc_id, count_if(no = 0) AS a, count_if(no = 1) AS c, count_if(no = 2) AS h,
+  string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", no, "end") AS s FROM base GROUP BY 1),
+e AS (SELECT doc_id, string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", no, "end") AS s
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY 1)
+SELECT d.doc_id, coalesce(b.a, 0)::BIGINT AS n_assign, coalesce(b.c, 0)::BIGINT AS n_access, coalesce(b.h, 0)::BIGINT AS n_hex,
+  sha256(coalesce(b.s, '')) AS base_sha256, coalesce(e.s, '') AS spans
+FROM documents d LEFT JOIN b USING (doc_id) LEFT JOIN e USING (doc_id)"""
