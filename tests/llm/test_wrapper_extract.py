@@ -30,6 +30,12 @@ def test_blocks_references_and_boilerplate():
     assert M.extract_page("just text", None) == "just text" and M.extract_page("<p>a<p>b<br>c", None) == "a b c"
 
 
+def test_words_that_only_name_neighbours():
+    page = ('<body class="no-sidebar"><div class="with-sidebar"><article class="post has-comments"><p>text</p><div class="share-box">share</div>'
+            '<article class="comment">reader</article></article></div><div class="cookie-box">cookies</div></body>')
+    assert M.extract_page(page, None) == "text"
+
+
 def test_wrapper_of_a_host():
     pages = [page("T1", ["a", "b"]), page("T2", ["c"], "<ul><li>x</li></ul>"), page("T3", ["d", "e", "f"])]
     w = M.wrapper_of(M.parse(pages[0]))

@@ -54,6 +54,9 @@ NOT_WORDS = frozenset("ad ads advert adverts advertisement banner sponsor sponso
                       "header footer cookie cookies consent notice alert popup modal comment comments reply replies share sharing social related "
                       "newsletter subscribe widget copyright".split())
 
+KEPT = frozenset("html body main article".split())
+BESIDE = frozenset("with has no without".split())
+
 # possessive throughout, and a tag is at most 512 pieces of attributes: no page makes the search slow
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)"""
                     r"""((?:[^<>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+'|["']){0,512}+)>""", re.S)
@@ -73,13 +76,24 @@ class Node:
         self.tag, self.label, self.skip, self.kids = tag, label, skip, []
 
 
+def _is_skipped(tag: str, words) -> bool:
+    """By tag, or by a word of class, id or role: a whole word, or a part of it (``cookie-box``) unless the element is the
+    article's own or the word only says what stands beside (``with-sidebar``)."""
+    if tag in NOT_TEXT:
+        return True
+    for w in words:
+        parts = re.split(r"[^a-z]+", w)
+        if w in NOT_WORDS or (tag not in KEPT and not BESIDE.intersection(parts) and not NOT_WORDS.isdisjoint(parts)):
+            return True
+    return False
+
+
 def _label(tag: str, attrs: str) -> tuple[str, bool]:
     words: list[str] = []
     if attrs and "=" in attrs:
         for m in _ATTR.finditer(attrs):
-            words += re.sub(r"[0-9]+", "", (m[2] or m[3] or m[4] or "").lower()).split()
-    skip = tag in NOT_TEXT or any(p in NOT_WORDS for w in words for p in re.split(r"[^a-z]+", w))
-    return (tag + "." + ".".join(sorted(set(words))) if words else tag), skip
+            words += re.sub(r"[0-9]+", "", (m[2] or m[3] or m[4] or "").lower()).replace(".", "-").split()
+    return (tag + "." + ".".join(sorted(set(words))) if words else tag), _is_skipped(tag, words)
 
 
 def parse(page: str | None) -> Node:
@@ -218,7 +232,7 @@ def expression(w: list) -> str:
 
 def _is_boiler(label: str) -> bool:
     tag, _, words = label.partition(".")
-    return tag in NOT_TEXT or any(p in NOT_WORDS for w in words.split(".") for p in re.split(r"[^a-z]+", w))
+    return _is_skipped(tag, words.split("."))
 
 
 def _text_size(w: list) -> int:
