@@ -1,5 +1,5 @@
 """Bench: the stage chain on $BENCH_SF_DIR (default /root/testdata/sf0.1) on
-local[$BENCH_CPUS]; prints one JSON line.  Set BENCH_ML=1 to add the model stages."""
+local[$BENCH_CPUS]; prints one JSON line.  $BENCH_UPTO (default 8) is the last stage, $BENCH_GRID the model grid."""
 
 from __future__ import annotations
 
@@ -21,27 +21,17 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * int(cpus) if cpus.isdigit() else 16)))
     spark = get_spark(cpus, shuffle_partitions=parts, app="tillscope-bench")
-    params = driver_params()
     timings: dict[str, float] = {}
     t0 = time.time()
-    out = run_stages(spark, transactions(spark, sf_dir), params, timings=timings)
-    if os.environ.get("BENCH_ML") == "1":
-        from tillscope.operators import customers as U
-        from tillscope.operators import models as M
-        t1 = time.time()
-        frame = M.model_frame(out["customer_profile"])
-        split = M.stratified_split(frame, label="label", seed=params.seed,
-                                   n_folds=M.GRIDS["small"]["folds"]).checkpoint(eager=True)
-        fitted = M.fit_suite(split, "small", params.seed)
-        hold = split.where("part = 'test'")
-        M.evaluate(fitted, hold, "stage5", list(fitted))
-        timings["stage5_models"] = time.time() - t1
+    # the model grid is a parameter of the bench; stages 5-8 run by default
+    params = driver_params(grid=os.environ.get("BENCH_GRID", "small"))
+    out = run_stages(spark, transactions(spark, sf_dir), params, timings=timings, upto=int(os.environ.get("BENCH_UPTO", "8")))
     total = time.time() - t0
     rows = {k: v.count() for k, v in out.items() if k in ("transactions_clean", "customer_segments")}
     print(json.dumps({"metric": "stage_chain_wall", "value": round(total, 2), "unit": "sec",
                       "queries": {k: round(v, 2) for k, v in timings.items()},
                       "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1], "rows": rows,
-                      "spark": spark.version, "cores": cpus, "shuffle_partitions": parts}))
+                      "spark": spark.version, "cores": cpus, "grid": params.grid, "shuffle_partitions": parts}))
     spark.stop()
 
 

@@ -406,6 +406,7 @@ import json  # noqa: E402
 
 from tillscope.operators import models as M  # noqa: E402
 from tillscope.operators import shapley as SH  # noqa: E402
+from tillscope.plans import model_stages as MS  # noqa: E402
 from tillscope.schema import EVAL_NAMES_STAGE6, EXPLAINED_MODELS, FEATURE_COLS  # noqa: E402
 
 ML_GRID = "small"   # registered queries use the reduced grids; pipelines default to "full"
@@ -415,14 +416,8 @@ def ml_split(c, grid: str = ML_GRID) -> dict:
     """Split (and the labelled later-period rows) without fitting anything."""
     st = c.p.extra.setdefault(f"ml_{grid}", {})
     if "split" not in st:
-        folds = M.GRIDS[grid]["folds"]
-        frame = M.model_frame(c.profile())
-        st["split"] = M.stratified_split(frame, label="label", seed=c.p.seed, train_fraction=c.p.train_fraction,
-                                         n_folds=folds).checkpoint(eager=True)
-        test_rows = M.assemble(U.label_customers(c.test_profile(), c.segments(), c.p.default_label)) \
-            .select("CustomerID", F.xxhash64("CustomerID").alias("rid"), "features",
-                    F.col("cluster").cast("double").alias("label"), *FEATURE_COLS)
-        st["test_rows"] = test_rows.checkpoint(eager=True)
+        st["split"] = MS.split_profile(c.profile(), c.p, M.GRIDS[grid]["folds"])
+        st["later"] = MS.later_rows(c.test_profile(), c.segments(), c.p)
     return st
 
 
@@ -441,59 +436,37 @@ def ml_state(c, grid: str = ML_GRID, names: tuple[str, ...] = M.FAMILIES) -> dic
 def ml_eval(c) -> tuple[DataFrame, DataFrame]:
     st = ml_state(c)
     if "eval" not in st:
-        fitted = st["fitted"]
-        hold = st["split"].where(F.col("part") == "test")
-        e5, p5 = M.evaluate(fitted, hold, "stage5", ["SVC", "LR", "KNN", "DT", "RF", "ADA", "GB", "VOTE"])
-        e6, p6 = M.evaluate(fitted, st["test_rows"], "stage6", list(EVAL_NAMES_STAGE6))
-        name6 = F.create_map(*[x for k, v in EVAL_NAMES_STAGE6.items() for x in (F.lit(k), F.lit(v))])
-        e6 = e6.withColumn("model", name6[F.col("model")])
-        p6 = p6.withColumn("model", name6[F.col("model")])
-        st["eval"] = (e5.unionByName(e6),
-                      p5.withColumn("stage", F.lit("stage5")).unionByName(p6.withColumn("stage", F.lit("stage6"))))
+        st["eval"] = MS.evaluate_periods(st["fitted"], st["split"], st["later"])
     return st["eval"]
 
 
 def ml_shap(c) -> tuple[DataFrame, DataFrame]:
-    st = ml_state(c, names=("RF", "GB", "LR", "KNN"))
+    st = ml_state(c, names=MS.EXPLAINED_FAMILIES)
     if "shap" not in st:
-        fitted = st["fitted"]
-        x = st["test_rows"]
-        explain = SH.seeded_sample(x, "CustomerID", c.p.explain_rows, c.p.seed)
-        background = SH.seeded_sample(x, "CustomerID", c.p.background_rows, c.p.seed + 1)
-        pts = (SH.coalition_points(explain, background)
-               .withColumn("rid", F.monotonically_increasing_id()).checkpoint(eager=True))
-        classes = sorted(int(r[0]) for r in st["split"].where("part = 'train'").select("label").distinct().collect())
-        vals, imps = [], []
-        phis = {}
-        for short, name in EXPLAINED_MODELS.items():
-            f = fitted[short]
-            if short == "LR":
-                w = f.model.coefficientMatrix.toArray().tolist()
-                w += [[0.0] * len(FEATURE_COLS)] * (M.N_CLASSES - len(w))
-                v = SH.linear_values(explain, background, w, classes).checkpoint(eager=True)
-            elif short == "VOTE":
-                # linearity: the vote's values are the mean of its members' values
-                knn = SH.shapley(fitted["KNN"].score(pts), M.N_CLASSES, classes)
-                v = SH.mean_of([phis["RF"], phis["GB"], knn], M.N_CLASSES, classes).checkpoint(eager=True)
-            else:
-                v = SH.shapley(f.score(pts), M.N_CLASSES, classes).checkpoint(eager=True)
-            phis[short] = v
-            vals.append(v.select("CustomerID", F.lit(name).alias("model"),
-                                 *[F.col(f"shap_{f_}") for f_ in FEATURE_COLS]))
-            imps.append(SH.importance(v, name))
-        sv, si = vals[0], imps[0]
-        for a, b in zip(vals[1:], imps[1:]):
-            sv, si = sv.unionByName(a), si.unionByName(b)
-        st["shap"] = (si, sv)
+        st["shap"] = MS.explain_models(st["fitted"], st["split"], st["later"], c.p)
     return st["shap"]
 
 
-@register("stratified_split")
+_SPLIT_SQL = """
+WITH b AS (SELECT *, cluster AS label, row_number() OVER (PARTITION BY cluster ORDER BY md5(CustomerID::VARCHAR || '42'), CustomerID) - 1 AS rank
+  FROM profile),
+n AS (SELECT label, count(*) * 0.8 AS share, floor(count(*) * 0.8 + 1e-9) AS whole, count(*) AS n FROM b GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY round(whole - share, 9), label) AS turn,
+  floor(sum(n) OVER () * 0.8 + 1e-9) - sum(whole) OVER () AS spare FROM n),
+s AS (SELECT b.*, CASE WHEN rank < whole + (CASE WHEN turn <= spare THEN 1 ELSE 0 END) THEN 'train' ELSE 'test' END AS part
+  FROM b JOIN o USING (label))
+"""
+
+
+@register("stratified_split", O.sql(
+    "SELECT * FROM (" + _SPLIT_SQL + f"SELECT CustomerID, label::INTEGER AS label, part, (rank % {M.GRIDS[ML_GRID]['folds']})::INTEGER AS fold FROM s) z", "profile"))
 def q_split_strat(spark, sf):
     return ml_split(context(spark, sf))["split"].select("CustomerID", F.col("label").cast("int").alias("label"), "part", "fold")
 
 
-@register("training_features")
+@register("training_features", O.sql(
+    "SELECT * FROM (" + _SPLIT_SQL + "SELECT CustomerID, " + ", ".join(f'"{f}"' for f in FEATURE_COLS)
+    + " FROM s WHERE part = 'train') z", "profile"))
 def q_train_features(spark, sf):
     return ml_split(context(spark, sf))["split"].where(F.col("part") == "train").select("CustomerID", *FEATURE_COLS)
 
@@ -518,7 +491,7 @@ def q_model_pred(spark, sf):
 
 @register("shap_importance")
 def q_shap_imp(spark, sf):
-    return ml_shap(context(spark, sf))[0].orderBy("model", F.desc("mean_abs_shap"), "feature")
+    return ml_shap(context(spark, sf))[0]
 
 
 @register("shap_values")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
+from pyspark.ml import classification as C
 from pyspark.sql import DataFrame, SparkSession
 
 from tillscope.functions.timecols import month_label
+from tillscope.operators.models import Fitted, vote
 
 
 def save_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> list[str]:
@@ -43,20 +45,47 @@ def read_metrics(spark: SparkSession, path: str) -> dict | None:
         return None
 
 
-def save_models(fitted: dict, folder: str) -> dict[str, str]:
-    """Spark ML persistence for the Spark ML families (KNN keeps its training table,
-    AdaBoost its stumps)."""
-    out = {}
+def read_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    """Stage tables written by ``save_tables`` as Parquet."""
+    return {n: spark.read.parquet(f"{folder.rstrip('/')}/{n}") for n in names}
+
+
+def save_models(spark: SparkSession, fitted: dict[str, Fitted], folder: str) -> dict[str, str]:
+    """Persist the families (Spark ML writers; KNN keeps its training table, AdaBoost its stumps) and an index of them."""
+    base, out, index = folder.rstrip("/"), {}, []
     for name, f in fitted.items():
-        path = f"{folder.rstrip('/')}/{name}"
-        if f.kind in ("prob", "raw"):
+        path = f"{base}/{name}"
+        entry = {"name": name, "kind": f.kind, "params": f.params, "cv_accuracy": f.cv_accuracy, "classes": f.classes}
+        if f.kind in ("prob", "raw", "boost"):
             f.model.write().overwrite().save(path)
+            entry["class"] = type(f.model).__name__
         elif f.kind == "knn":
             f.train.write.mode("overwrite").parquet(path)
         elif f.kind == "ada":
-            for i, (stump, alpha) in enumerate(f.model):
-                stump.write().overwrite().save(f"{path}/stump_{i:03d}_{alpha!r}")
+            entry["alphas"] = [a for _, a in f.model]
+            for i, (stump, _) in enumerate(f.model):
+                stump.write().overwrite().save(f"{path}/stump_{i:03d}")
         else:
             continue
+        index.append(entry)
         out[name] = path
+    save_metrics(spark, {"models": index}, f"{base}/index")
+    return out
+
+
+def load_models(spark: SparkSession, folder: str) -> dict[str, Fitted]:
+    """Families saved by ``save_models``; the vote is rebuilt from its members."""
+    base, out = folder.rstrip("/"), {}
+    for e in (read_metrics(spark, f"{base}/index") or {"models": []})["models"]:
+        path = f"{base}/{e['name']}"
+        f = Fitted(e["name"], e["kind"], params=e["params"], cv_accuracy=e["cv_accuracy"], classes=e["classes"])
+        if e["kind"] == "knn":
+            f.train = spark.read.parquet(path)
+        elif e["kind"] == "ada":
+            f.model = [(C.DecisionTreeClassificationModel.load(f"{path}/stump_{i:03d}"), a) for i, a in enumerate(e["alphas"])]
+        else:
+            f.model = getattr(C, e["class"]).load(path)
+        out[e["name"]] = f
+    if {"RF", "GB", "KNN"} <= set(out):
+        out["VOTE"] = vote(out)
     return out
