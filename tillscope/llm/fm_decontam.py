@@ -14,8 +14,8 @@ equal item_id are one item; an item without id hits words but is not listed; rep
 judged one by one; an empty benchmark or empty documents give no hits; extra columns pass through, and a column
 named like a result column is replaced by the result.
 
-Scale: documents are read once per benchmark block and never shuffled.  The benchmark is a stated query set; it
-is taken in blocks of at most ``block_bytes`` of text, each broadcast.  Memory per task: one Arrow batch.
+Scale: documents are read once and never shuffled.  The benchmark is a stated query set; it is taken in blocks of
+about ``block_bytes`` of text, each broadcast.  Memory per task: one Arrow batch and one block.
 """
 
 from __future__ import annotations
@@ -203,73 +203,87 @@ def cut_words(text: str, spans: list[dict[str, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def _scan(phrases, text_col: str, keep: list[str], prefix: str, later: bool):
+def _search(blocks: list, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, dict[int, set]]:
+    """Hits of a shard over all benchmark blocks; of several blocks a task holds one at a time."""
+    hit = starts = None
+    items: dict[int, set] = {}
+    for block in blocks:
+        phrases = block.value
+        more, starts, found = phrases.find(docs)
+        hit = more if hit is None else hit | more
+        for d, ids in found.items():
+            items.setdefault(d, set()).update(ids)
+        if len(blocks) > 1:
+            del phrases
+            block.__dict__.pop("_value", None)
+    return hit, starts, items
+
+
+def _blocks(bench: DataFrame, window: int, item_id: str, item_text: str, block_bytes: int) -> list:
+    """The test phrases as broadcast variables of at most about ``block_bytes`` of text each."""
+    spark = bench.sparkSession
+    bench = bench.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
+    total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = 1 + int(total // block_bytes)
+    of = F.pmod(F.xxhash64("i", "t"), F.lit(n))
+    return [spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in bench.where(of == b).collect()], window)) for b in range(n)]
+
+
+def find_benchmark(docs: DataFrame, bench: DataFrame, window: int = 10, text: str = "text",
+                   item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+    """``docs`` with n_words, n_hit, spans (word positions, end exclusive) and items (ids found)."""
+    blocks = _blocks(bench, window, item_id, item_text, block_bytes)
+    keep = [c for c in docs.columns if c not in RESULT.names]
+    schema = T.StructType([docs.schema[c] for c in keep] + RESULT.fields)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = phrases.value
         for batch in batches:
-            docs = [words_of(t) for t in batch.column(text_col).to_pylist()]
-            hit, starts, items = block.find(docs)
-            spans: list = [[] for _ in docs]
-            found: list = [[] for _ in docs]
-            hits = np.zeros(len(docs), np.int64)
-            for d in np.flatnonzero(np.add.reduceat(hit, starts[:-1])) if len(docs) else []:
-                hits[d] = int(hit[starts[d]: starts[d + 1]].sum())
+            words = [words_of(t) for t in batch.column(text).to_pylist()]
+            hit, starts, items = _search(blocks, words)
+            spans: list = [[] for _ in words]
+            found: list = [[] for _ in words]
+            hits = np.add.reduceat(hit, starts[:-1], dtype=np.int64) if len(words) else np.zeros(0, np.int64)
+            for d in np.flatnonzero(hits):
                 spans[d], found[d] = _spans(hit[starts[d]: starts[d + 1]]), sorted(items.get(int(d), ()))
-            if later:  # merge with the spans of earlier benchmark blocks
-                for d, (old, had) in enumerate(zip(batch.column(prefix + "spans").to_pylist(), batch.column(prefix + "items").to_pylist())):
-                    if old:
-                        flags = np.zeros(len(docs[d]), bool)
-                        for s in [*old, *spans[d]]:
-                            flags[s["start"]: s["end"]] = True
-                        spans[d], found[d], hits[d] = _spans(flags), sorted({*had, *found[d]}), int(flags.sum())
             cols = [batch.column(c) for c in keep]
-            cols += [pa.array([len(d) for d in docs], pa.int64()), pa.array(hits, pa.int64()),
+            cols += [pa.array([len(d) for d in words], pa.int64()), pa.array(hits, pa.int64()),
                      pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, *(prefix + c for c in RESULT.names)])
-    return run
+            yield pa.RecordBatch.from_arrays(cols, [*keep, *RESULT.names])
 
+    return docs.select(*keep).mapInArrow(run, schema)
 
-def find_benchmark(docs: DataFrame, bench: DataFrame, window: int = 10, text: str = "text",
-                   item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20, prefix: str = "") -> DataFrame:
-    """``docs`` with n_words, n_hit, spans (word positions, end exclusive) and items (ids found), each with ``prefix``."""
-    spark = docs.sparkSession
-    bench = bench.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
-    total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n_blocks = 1 + int(total // block_bytes)
-    names = {prefix + c: c for c in RESULT.names}
-    keep = [c for c in docs.columns if c not in names]
-    out = docs.select(*keep)
-    schema = T.StructType([out.schema[c] for c in keep] + [T.StructField(p, RESULT[c].dataType) for p, c in names.items()])
-    for b in range(n_blocks):
-        rows = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b).collect()
-        block = spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in rows], window))
-        out = out.mapInArrow(_scan(block, text, keep, prefix, b > 0), schema)
-    return out
-
-
-def remove_benchmark(docs: DataFrame, bench: DataFrame, window: int = 10, text: str = "text", **kw) -> DataFrame:
+
+def remove_benchmark(docs: DataFrame, bench: DataFrame, window: int = 10, text: str = "text",
+                     item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
     """Cut every merged span out of the documents' texts; a document of which no word is left goes.
 
     Documents without hits keep their text as it is.  ``n_chars``, where present, follows the text.
     """
-    found = find_benchmark(docs, bench, window, text, prefix="__", **kw)
-    schema, names = docs.schema, docs.columns
+    blocks = _blocks(bench, window, item_id, item_text, block_bytes)
+    names = docs.columns
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text).to_pylist()
+            words = [words_of(t) for t in texts]
+            hit, starts, _ = _search(blocks, words)
+            hits = np.add.reduceat(hit, starts[:-1], dtype=np.int64) if len(words) else np.zeros(0, np.int64)
+            if not hits.any():
+                yield batch
+                continue
             cols = {c: batch.column(c) for c in names}
-            if any(n for n in batch.column("__n_hit").to_pylist()):
-                spans = batch.column("__spans").to_pylist()
-                new = [cut_words(t, s) if s else t for t, s in zip(texts, spans)]
-                cols[text] = pa.array(new, cols[text].type)
-                if "n_chars" in cols:
-                    sizes = [len(t) if s else n for t, s, n in zip(new, spans, cols["n_chars"].to_pylist())]
-                    cols["n_chars"] = pa.array(sizes, cols["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
-
-    left = found.where((F.col("__n_hit") == 0) | (F.col("__n_hit") < F.col("__n_words")))
-    return left.mapInArrow(cut, schema)
+            sizes = cols["n_chars"].to_pylist() if "n_chars" in cols else None
+            for d in np.flatnonzero(hits):
+                texts[d] = cut_words(texts[d], _spans(hit[starts[d]: starts[d + 1]]))
+                if sizes:
+                    sizes[d] = len(texts[d])
+            cols[text] = pa.array(texts, cols[text].type)
+            if sizes:
+                cols["n_chars"] = pa.array(sizes, cols["n_chars"].type)
+            left = pa.array([n == 0 or n < len(w) for n, w in zip(hits, words)])
+            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names).filter(left)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_fm_decontamination(spark, sf_dir: str) -> DataFrame:
