@@ -12,7 +12,7 @@ nothing (IC is 0); ties at a threshold count as above it; repeated rows count as
 table gives an empty result; other columns are not read.
 
 Scale: one pass over the texts writes findings with their surroundings; pair counts are pre-aggregated, so a hot entity
-is a few rows per task; document frequencies are counted over all texts for the words of supported pairs only;
+is a few rows per task; document frequencies are counted over all texts for the words that can still reach a threshold;
 flagged pairs return to their places through ``lookup``.
 """
 
@@ -91,19 +91,29 @@ def _terms(found: DataFrame, reach: int) -> DataFrame:
     return one.select("_row", "entity", F.explode(F.concat(move(left, first), move(right, F.col("end")))).alias("t")).select("_row", "entity", "t.*")
 
 
+def _with_share(pairs: DataFrame, n_docs: int) -> DataFrame:
+    """Adds PMI(e, t) / IC(e) to (both, n_e, n_t); entities of all documents have none."""
+    log2 = lambda x: F.log2(x.cast("double"))
+    ic = log2(F.lit(n_docs) / F.col("n_e"))
+    pmi = log2(F.col("both") * F.lit(float(n_docs)) / (F.col("n_e") * F.col("n_t").cast("double")))
+    return pairs.where(F.col("n_e") < n_docs).withColumn("share", F.round(pmi / ic, 9))
+
+
 def disclosing_pairs(found: DataFrame, terms: DataFrame, texts: DataFrame, text: str, n_docs: int, support: int, generalise_at: float) -> DataFrame:
     """(entity, term, share) of the pairs at or above ``generalise_at``."""
     together = terms.select("_row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    together = written(together.where(F.col("both") >= support), "private-pairs")
-    by_entity = found.select("_row", F.explode(F.array_distinct("found.entity")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    by_entity = written(found.select("_row", F.explode(F.array_distinct("found.entity")).alias("entity"))
+                        .groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")), "private-entities")
+    # a word is in at least the documents where it stands near any entity: with that count for its frequency the share can
+    # only be too high, so a pair below the threshold by it need not be counted over the whole corpus
+    near = written(terms.select("_row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "private-near-counts")
+    some = lookup(lookup(together.where(F.col("both") >= support), by_entity, ["entity"], "inner"), near, ["term"], "inner")
+    together = written(_with_share(some, n_docs).where(F.col("share") >= generalise_at).select("entity", "term", "both", "n_e"), "private-pairs")
     wanted = written(together.select("term").distinct(), "private-terms")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(r"\p{L}{4,}"), F.lit(0)))
     by_term = lookup(texts.select(F.explode(words).alias("term")), wanted, ["term"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    pairs = lookup(lookup(together, written(by_entity, "private-entities"), ["entity"], "inner"), written(by_term, "private-words"), ["term"], "inner")
-    log2 = lambda x: F.log2(x.cast("double"))
-    ic = log2(F.lit(n_docs) / F.col("n_e"))
-    pmi = log2(F.col("both") * F.lit(float(n_docs)) / (F.col("n_e") * F.col("n_t").cast("double")))
-    return pairs.where(F.col("n_e") < n_docs).select("entity", "term", F.round(pmi / ic, 9).alias("share")).where(F.col("share") >= generalise_at)
+    pairs = lookup(together, written(by_term, "private-words"), ["term"], "inner")
+    return _with_share(pairs, n_docs).where(F.col("share") >= generalise_at).select("entity", "term", "share")
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = 40, support: int = 3,
