@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -49,6 +50,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers (once per application), wherever they run.
+
+    Functions that run in Python workers import their helpers from the package there.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tillscope-ship-"), "tillscope.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("tillscope", os.path.relpath(full, here)))
+    sc.addPyFile(path)   # the driver serves it to every executor
+    _SHIPPED.add(sc.applicationId)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared checkpoint folder (for written tables)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
