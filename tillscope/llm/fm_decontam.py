@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillscope.session import ship_package
+
 #: The word characters of the operator's contract.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _FOLD = bytes(
@@ -236,6 +238,7 @@ def _search(blocks: list, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarr
 def _blocks(bench: DataFrame, window: int, item_id: str, item_text: str, block_bytes: int) -> list:
     """The test phrases as broadcast variables of at most about ``block_bytes`` of text each."""
     spark = bench.sparkSession
+    ship_package(spark)
     bench = bench.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = 1 + int(total // block_bytes)

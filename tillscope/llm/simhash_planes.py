@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tillscope.llm.common import lookup, written
 from tillscope.llm.components import components
+from tillscope.session import ship_package
 
 BITS = 64
 
@@ -56,6 +57,8 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long."""
+    ship_package(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
@@ -184,6 +187,7 @@ def _links(radius: int, block: int = 4096):
 
 def near_links(fps: DataFrame, n: int, radius: int = 4, bucket_rows: int = 2048) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fps`` (fp): enough of them to connect all within ``radius``."""
+    ship_package(fps.sparkSession)
     masks = bucket_masks(n, radius)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])
     rows = fps.select("fp", F.explode(keys).alias("key"))

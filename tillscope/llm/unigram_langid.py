@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillscope.llm.common import written
+from tillscope.session import ship_package
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
@@ -208,6 +209,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         fit_rows: int = 1000, rounds: int = 3, smooth: float = 0.1) -> Model:
     """Learn from labelled documents that are not held out."""
     spark, pieces = docs.sparkSession, load_pieces(vocabulary)
+    ship_package(spark)
     train = docs.select(F.col(doc_id), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")) \
         .where(~held_out(doc_id) & F.col("lang").isNotNull())
     counts = {r.lang: r["count"] for r in train.groupBy("lang").count().collect()}
@@ -267,6 +269,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the predicted language and its posterior, called ``names``."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in names]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])

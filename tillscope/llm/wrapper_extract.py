@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from tillscope.llm.common import lookup, written
 from tillscope.llm.host_reputation import with_host
+from tillscope.session import ship_package
 
 #: Fixed values of HTML: elements without content, raw-text elements, inline elements, elements whose start ends an open one.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -386,6 +387,7 @@ def infer_wrappers(pages: DataFrame, host: str = "host", html: str = "html", fan
 
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", template_pages: int = 8) -> DataFrame:
     """``pages`` with text and n_chars (code points)."""
+    ship_package(pages.sparkSession)
     keep = [c for c in pages.columns if c not in ("text", "n_chars")]
     at = with_host(pages.select(F.struct(*keep).alias("row"), F.col(url).alias("url"), F.col(html).alias("html")), "url")
 
