@@ -9,6 +9,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +25,9 @@ BROADCAST_BYTES = 16 << 20
 #: Copies of each key's row when a lookup table is too large to broadcast.
 SALTS = 16
 
+#: Text that a Python worker takes from an Arrow batch at a time.
+SHARD_BYTES = 2 << 20
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
@@ -118,3 +126,13 @@ def replaced(text: Column, spans: Column, label) -> Column:
             s["end"].alias("pos"), F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), label(s)).alias("out")))
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.char_length(text)))
     return F.aggregate(F.array_sort(spans), acc0, step, rest)
+
+
+def shards(batches: Iterator[pa.RecordBatch], text: str, most: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``most`` bytes of text (one document at least)."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // most
+        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else [0, 0]
+        for a, b in zip(edge[:-1], edge[1:]):
+            yield batch.slice(a, b - a)

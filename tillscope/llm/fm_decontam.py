@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is some 8 MB of documents' text.  Its text is written over the benchmark's word alphabet; a word outside
+A shard is some 2 MB of documents' text.  Its text is written over the benchmark's word alphabet; a word outside
 the alphabet, or the end of a document, is a break, and a stretch between breaks that is shorter than the
 shortest test phrase is left out (no phrase crosses a break, so nothing can be missed).  The shard's suffixes are
 sorted, the Burrows-Wheeler transform is stored as a wavelet matrix with ranks, every test phrase is searched
@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillscope.llm.common import shards
 from tillscope.session import ship_package
 
 #: The word characters of the operator's contract.
@@ -38,9 +38,6 @@ _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
 )
 
-#: Text of one shard; its words, index and phrases' ranges are what a task holds.
-SHARD_BYTES = 8 << 20
-
 RESULT = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("n_hit", T.LongType()),
@@ -209,16 +206,6 @@ def cut_words(text: str, spans: list[dict[str, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def shards(batches: Iterator[pa.RecordBatch], text: str, most: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``most`` bytes of text (one document at least)."""
-    for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = np.cumsum(size) // most
-        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else [0, 0]
-        for a, b in zip(edge[:-1], edge[1:]):
-            yield batch.slice(a, b - a)
-
-
 def _search(blocks: list, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, dict[int, set]]:
     """Hits of a shard over all benchmark blocks; of several blocks a task holds one at a time."""
     hit = starts = None

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillscope.llm.common import written
+from tillscope.llm.common import shards, written
 from tillscope.session import ship_package
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -142,8 +142,8 @@ class Lattice:
         for i, w in enumerate(words):
             by_size.setdefault(len(w) + 1, []).append(i)
         for size, group in by_size.items():
-            for at in range(0, len(group), 4096):
-                part = group[at: at + 4096]
+            for at in range(0, len(group), 1024):
+                part = group[at: at + 1024]
                 ids = self.of([START + words[i] for i in part])
                 alpha = self.forward(ids, p[:, None])[:, :, 0]
                 reach = ids.shape[2]
@@ -171,7 +171,7 @@ class Model:
 class Scorer:
     """Scores texts; remembers up to ``cache`` words."""
 
-    def __init__(self, model: Model, cache: int = 500_000):
+    def __init__(self, model: Model, cache: int = 100_000):
         self.m, self.lattice, self.cache = model, Lattice(model.pieces), cache
         self._clear()
 
@@ -224,7 +224,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     some = train.where(F.pmod(F.xxhash64(doc_id, F.lit(11)), F.lit(span)) < bound).select("lang", "text")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shards(batches, "text"):
             got: Counter = Counter()
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for w, n in Counter(letter_words(t)).items():
@@ -276,9 +276,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            got = [g for at in range(0, len(texts), 500) for g in scorer.score(texts[at: at + 500])]
+        for batch in shards(batches, text):
+            got = scorer.score(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([g[0] for g in got], pa.string()),
                                               pa.array([g[1] for g in got], pa.float64())], [*keep, *names])
 
