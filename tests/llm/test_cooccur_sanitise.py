@@ -72,3 +72,32 @@ def test_odd_rows(spark):
     assert M.sanitise(d).count() == d.count() and M.sanitise(empty_docs(spark)).count() == 0
     every = M.sanitise(docs(spark, ["mail me@x.y today"] * 5)).collect()  # an entity of all documents reveals nothing
     assert len(every) == 5 and all(r.terms == [] and len(r.base) == 1 for r in every)
+
+
+def test_query_judges_all_words(spark):
+    """Entities of one document, words far from the entity, short words and repeats; brute force over the query's spans."""
+    far = "the " * 40
+    texts = [f"Zoë met Quux at one@x.y {far}and quux went to Xi-Yo, {far}one quux", "call +1 (499) 555-6503 or mail two@x.y Bo", f"two@x.y {far}Bo", "Bo said Ko"]
+    texts += [f"the and to at one met call or mail said went {'z' * i}" for i in range(60)] + ["again old@x.y " + "word " * 400 + "Rare" + " word" * 300, None]
+    n = len(texts)
+    runs = lambda t: list(re.finditer(r"[^\W\d_]+", t or ""))
+    entities = lambda t: {(k, t[a:b]) for a, _, b, k in base(t)}
+    held, has = {}, {}
+    for i, t in enumerate(texts):
+        for e in entities(t):
+            held.setdefault(e, set()).add(i)
+        for m in runs(t):
+            has.setdefault(m[0].lower(), set()).add(i)
+    share = lambda e, w: math.log2(n * len(held[e] & has[w]) / (len(held[e]) * len(has[w]))) / math.log2(n / len(held[e]))
+    got = {r.doc_id: r.spans for r in M.op5_cooccur_sanitise(Tables(spark, documents=docs(spark, texts)), "t").collect()}
+    kinds = set()
+    for i, t in enumerate(texts):
+        want = base(t)
+        for m in runs(t):
+            s = max((share(e, m[0].lower()) for e in entities(t)), default=0)
+            if s >= 0.8 and not any(a < m.end() and m.start() < b for a, _, b, _ in base(t)):
+                no = 5 if s >= 0.95 else 4
+                want.append((m.start(), no, m.end(), M.KINDS[no]))
+                kinds.add((M.KINDS[no], m[0]))
+        assert got[i] == as_text(want)
+    assert {("remove", "Quux"), ("remove", "quux"), ("remove", "Yo"), ("generalise", "Bo"), ("remove", "Rare")} <= kinds
