@@ -65,3 +65,19 @@ def test_odd_rows(spark):
     assert M.fingerprint_documents(empty_docs(spark)).count() == 0
     only = M.fingerprint_documents(docs(spark, ["a b c d e f g h"])).collect()
     assert len(only) == 1 and only[0].edited == edited("a b c d e f g h", "a b c d e f g h")
+
+
+def test_short_texts_have_fingerprints(spark):
+    texts = [f"word{i // 2} of text" for i in range(40)] + [f"one two three four five six w{i // 2} eight" for i in range(40)]
+    got = query(spark, docs(spark, texts))
+    assert all(r.fingerprint for r in got.values()) and len({r.fingerprint for r in got.values()}) == len(set(texts))
+    for i in range(0, 80, 2):
+        assert got[i].near_next == 1.0 and got[i].fingerprint == got[i + 1].fingerprint
+        assert (got[i].near_edited == 1.0) == (edited(texts[i], texts[i + 1]) == texts[i])
+    assert len(got[79].fingerprint.split(",")) == 4
+
+
+def test_all_shingles_are_kept(spark):
+    d = spark.createDataFrame([(sentences(1, seed=5, vocabulary=5000, least=900, most=900)[0],)], "t string")
+    n = [d.select(F.size(M.sketch_of(M.word_hashes(F.col("t")), scale))).first()[0] for scale in (1, 2, 4)]
+    assert n[0] == 896 and 350 < n[1] < 550 and 150 < n[2] < 300

@@ -1,17 +1,18 @@
-"""Document fingerprints: threshold-scaled sketches (every shingle hash below a fixed fraction is kept).
+"""Document fingerprints: threshold-scaled sketches (every shingle hash below a fixed fraction is kept; here all of them).
 
 Words are runs of characters other than space and U+0009-U+000D, lower-cased; shingles are five consecutive words (fewer
 words: the whole sequence).  Words are hashed once and a shingle's hash combines five word hashes.  A hash is kept if
-it lies in the lowest 1/``scale`` of the non-negative 64-bit range's double, i.e. 0 <= h < 2^64 / scale, so a sketch grows
+it lies in the lowest 1/``scale`` of the unsigned 64-bit range, i.e. h < 2^64 / scale, so a sketch grows
 with its text, the union of sketches is the sketch of the union, and the kept shares of very unequal documents
-compare directly.  Likeness of two sketches is their containment: common hashes over the smaller sketch's hashes.
+compare directly.  The operator keeps all (``SCALE`` = 1): a fraction leaves short texts, which have a few shingles or one,
+with an empty sketch.  Likeness of two sketches is their containment: common hashes over the smaller sketch's hashes.
 
 Defined cases: null text counts as empty; a text without words has the empty sketch; likeness with one empty sketch
 is 0, of two empty sketches 1 if both texts are without words and else 0; equal texts have equal sketches; repeated
 doc_ids follow each other in the order of a text hash; a null doc_id comes before all others; a single document is
 its own successor; an empty table gives an empty result; other columns are not read.
 
-Scale: texts are shuffled once, by ranges of doc_id; the successor comes from a window inside a range, and the first
+Scale: texts (not sketches, which are larger) are shuffled once, by ranges of doc_id; the successor comes from a window inside a range, and the first
 document of each range is also sent to the range before.  No Python, no per-document join.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SCALE, SHINGLE = 4, 5
+SCALE, SHINGLE = 1, 5
 
 
 def word_hashes(text: Column) -> Column:
@@ -34,8 +35,9 @@ def sketch_of(hashes: Column, scale: int = SCALE, shingle: int = SHINGLE) -> Col
     n = F.size(hashes)
     at = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - shingle, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
     full = F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(shingle)]))
-    limit = (1 << 64) // scale
-    return F.sort_array(F.array_distinct(F.filter(full, lambda h: (h >= 0) & (h < F.lit(limit)))))
+    last = (1 << 64) // scale - 1  # above 2^63 - 1 only if all are kept
+    kept = full if scale == 1 else F.filter(full, lambda h: (h >= 0) & (h <= F.lit(last)))
+    return F.sort_array(F.array_distinct(kept))
 
 
 def merge(a: Column, b: Column) -> Column:
@@ -93,17 +95,17 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     """(doc_id, text, n_chars, sketch, edited, edited_sketch, near_edited, near_next, containment both ways)."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
                        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("_key"))
-    ids = with_sketch(base, "text", "sketch").withColumn("n_chars", F.char_length("text").cast("long"))
-    nxt = with_next(ids, "_key", ["text", "sketch", "sketch_words"], F.xxhash64("text"))
+    nxt = with_next(base, "_key", ["text"], F.xxhash64("text")).withColumn("n_chars", F.char_length("text").cast("long"))
     tail = F.floor(F.col("n_chars") / 4).cast("int")
     out = nxt.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - tail).cast("int")),
                                             F.substring("_next.text", F.lit(1), tail)))
-    out = with_sketch(out, "edited", "edited_sketch")
+    out = with_sketch(with_sketch(out, "text", "sketch"), "edited", "edited_sketch")
+    out = with_sketch(out.withColumn("_next_text", F.col("_next.text")), "_next_text", "next_sketch")
     blank = lambda a, b: F.when((F.col(a) == 0) & (F.col(b) == 0), F.lit(1.0))
     return out.select(
         "doc_id", "text", "n_chars", "sketch", "edited", "edited_sketch",
         blank("sketch_words", "edited_sketch_words").otherwise(containment(F.col("sketch"), F.col("edited_sketch"))).alias("near_edited"),
-        blank("sketch_words", "_next.sketch_words").otherwise(containment(F.col("sketch"), F.col("_next.sketch"))).alias("near_next"))
+        blank("sketch_words", "next_sketch_words").otherwise(containment(F.col("sketch"), F.col("next_sketch"))).alias("near_next"))
 
 
 def op9_scaled_sketch(spark, sf_dir: str) -> DataFrame:
