@@ -49,3 +49,17 @@ def test_odd_rows(spark):
     assert all(r.size == 16 and r.text_crc32 == 0 for r in rows if r.doc_id in (2, 3))
     assert M.shard_documents(empty_docs(spark)).count() == 0
     check(M.shard_documents(d, n_shards=40).collect(), 40)
+
+
+def test_full_shards_swap(spark):
+    """Every text occurs twice: no place is free, so groups meet only by swaps."""
+    placed = M.shard_documents(docs(spark, [f"t{i // 2}" for i in range(400)]), n_shards=8).cache()
+    check(placed.collect(), 8)
+    assert M.cut_edges(placed, "first_shard") > 150 and M.cut_edges(placed) <= 12
+
+
+def test_flows_keep_quotas():
+    ring = [[0, 5, 0], [0, 0, 7], [6, 0, 0]]
+    assert M.flows(ring, [0, 0, 0]) == [[0, 5, 0], [0, 0, 5], [5, 0, 0]]
+    assert M.flows([[0, 9], [2, 0]], [0, 3]) == [[0, 5], [2, 0]]
+    assert M.flows([[0, 9], [0, 0]], [0, 0]) == [[0, 0], [0, 0]]
