@@ -409,7 +409,7 @@ from tillscope.operators import shapley as SH  # noqa: E402
 from tillscope.plans import model_stages as MS  # noqa: E402
 from tillscope.schema import EVAL_NAMES_STAGE6, EXPLAINED_MODELS, FEATURE_COLS  # noqa: E402
 
-ML_GRID = "small"   # registered queries use the reduced grids; pipelines default to "full"
+ML_GRID = "full"   # registered queries search the reference's grids, as pipelines do by default
 
 
 def ml_split(c, grid: str = ML_GRID) -> dict:
