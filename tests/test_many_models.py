@@ -1,0 +1,255 @@
+"""Many models per pass against single fits, library trees and coalition points."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from tillscope.operators import boosting as BO
+from tillscope.operators import forests as FO
+from tillscope.operators import knn as KNN
+from tillscope.operators import linear as LI
+from tillscope.operators import models as M
+from tillscope.operators import passes as P
+from tillscope.operators import shapley as S
+from tillscope.schema import FEATURE_COLS
+from tillscope.sources import results as RES
+
+CUSTOMER = "CustomerID string, cluster int, " + ", ".join(f"`{f}` double" for f in FEATURE_COLS)
+
+
+def labelled(spark, n=240, classes=4, seed=1, whole=False, spread=1.0, folds=3):
+    rnd = random.Random(seed)
+    value = (lambda c, j: float(round(rnd.gauss(3 * c * (j % 2) + c, spread)))) if whole else (lambda c, j: rnd.gauss(c * (j + 1), spread))
+    rows = []
+    for i in range(n):
+        c = rnd.randrange(classes)
+        rows.append((f"c{i}", c, *[value(c, j) for j in range(len(FEATURE_COLS))]))
+    d = M.model_frame(spark.createDataFrame(rows, CUSTOMER)).withColumn("fold", (F.pmod(F.xxhash64("CustomerID"), F.lit(folds))).cast("int"))
+    return d.persist()
+
+
+def arrays(df):
+    rows = df.select(vector_to_array("features").alias("x"), "label").collect()
+    return np.array([r["x"] for r in rows]), np.array([int(r["label"]) for r in rows])
+
+
+@pytest.mark.parametrize("partitions", [1, 12])
+def test_logistic_models_equal_single_fits(spark, partitions):
+    d = labelled(spark, spread=3.0).repartition(partitions).persist()
+    table = P.row_table(d, 6)
+    counts = LI.class_counts(table, 3, 8)
+    assert counts[-1].sum() == 240 and counts[:3].sum() == 480
+    cs = [0.02, 1.0, 20.0]
+    w, passes = LI.fit_logistic(table, cs, 3, counts > 0)
+    assert passes < 30   # passes, not fits x iterations
+    for f, i in ((0, 0), (2, 1), (3, 2)):
+        rows = d.where(F.col("fold") != f)
+        one = LogisticRegression(family="multinomial", standardization=False, regParam=1 / (cs[i] * rows.count()), maxIter=2000, tol=1e-12).fit(rows)
+        assert np.abs(w[f, i, :4, :6] - one.coefficientMatrix.toArray()).max() < 1e-3
+        b = one.interceptVector.toArray()
+        assert np.abs(w[f, i, :4, 6] - (b - b.mean())).max() < 5e-3
+    acc = LI.held_out_accuracy(table, w, counts > 0)
+    x, y = arrays(d.where("fold = 1"))
+    z = x @ w[1, 1, :4, :6].T + w[1, 1, :4, 6]
+    assert abs(acc[1, 1] - (z.argmax(1) == y).mean()) < 1e-12
+
+
+def test_support_vector_machines_are_optimal(spark):
+    d = labelled(spark, spread=3.0)
+    table = P.row_table(d, 6)
+    cs = [0.05, 5.0]
+    w, _ = LI.fit_svc(table, cs, 3, 8)
+    folds = np.array([r["fold"] for r in d.select("fold").collect()])
+    x, y = arrays(d)
+    x1 = np.concatenate([x, np.ones((len(x), 1))], 1)
+    for f in range(4):
+        mine = folds != f
+        for i, c in enumerate(cs):
+            for k in range(4):   # the gradient of a strictly convex objective vanishes only at its optimum
+                s = np.where(y[mine] == k, 1.0, -1.0)
+                gap = np.maximum(1 - s * (x1[mine] @ w[f, i, k]), 0)
+                g = w[f, i, k] - 2 * c * (gap * s) @ x1[mine]
+                assert np.abs(g).max() < 1e-4 * c * len(x)
+
+
+def test_boosted_chains_equal_the_library_on_whole_numbers(spark):
+    d = labelled(spark, n=180, classes=3, whole=True)
+    table = P.row_table(d, 6)
+    models = BO.fit_boosted(table, 4, 3, [0, 1, 2])
+    ovr = OneVsRest(classifier=GBTClassifier(maxIter=4, maxDepth=3, stepSize=0.1, seed=1)).fit(d)
+    x, _ = arrays(d)
+    mine = models[-1].raw(x)
+    for c, m in enumerate(ovr.models):
+        rows = m.transform(d).select(vector_to_array("rawPrediction")[1].alias("r")).collect()
+        assert np.abs(mine[:, c] - np.array([r["r"] for r in rows])).max() < 1e-9
+    # a run of fewer rounds is a prefix, and the folds' chains are fits without the fold
+    short = BO.fit_boosted(table, 2, 3, [0, 1, 2])
+    assert all((a.value == b.value).all() for a, b in zip(short[0].trees, models[0].trees))
+    alone = BO.fit_boosted(P.row_table(d.where("fold <> 0").withColumn("fold", F.lit(1)), 6), 2, 1, [0, 1, 2])
+    kept = [BO.Boosted(m.classes, m.cuts, m.trees[:2]) for m in (models[0], alone[-1])]
+    if all(len(a) == len(b) and (a == b).all() for a, b in zip(models[0].cuts, alone[-1].cuts)):
+        assert np.abs(kept[0].raw(x) - kept[1].raw(x)).max() < 1e-12
+    acc = BO.boosted_accuracy(table, models, [2, 4])
+    xf, yf = arrays(d.where("fold = 2"))
+    for i, n in enumerate((2, 4)):
+        p = BO.Boosted(models[2].classes, models[2].cuts, models[2].trees[:n]).raw(xf)
+        assert abs(acc[2, i] - (p.argmax(1) == yf).mean()) < 1e-12
+
+
+def test_rebased_scores_do_not_change_the_trees(spark, monkeypatch):
+    table = P.row_table(labelled(spark, n=120), 6)
+    a = BO.fit_boosted(table, 5, 2, [0, 1, 2, 3])
+    s = BO.fit_stumps(table, 12, 2, 8)
+    monkeypatch.setattr(BO, "REBASE", 2)
+    b = BO.fit_boosted(table, 5, 2, [0, 1, 2, 3])
+    assert all(np.abs(x.value - y.value).max() < 1e-12 and (x.feature == y.feature).all() for m, n in zip(a, b) for x, y in zip(m.trees, n.trees))
+    for x, y in zip(s, BO.fit_stumps(table, 12, 2, 8)):
+        assert [t[:4] for t in x.stages] == [t[:4] for t in y.stages]
+
+
+def test_stumps_follow_samme(spark):
+    d = labelled(spark, n=90, classes=3)
+    runs = BO.fit_stumps(P.row_table(d, 6), 5, 3, 8)
+    x, y = arrays(d)
+    w = np.ones(len(x))
+    for stage in runs[-1].stages:
+        best = None
+        for f in range(6):
+            v = np.unique(x[:, f])
+            for cut in (v[:-1] + v[1:]) / 2:
+                left = x[:, f] <= cut
+                gini = 0.0
+                for side in (left, ~left):
+                    n = np.bincount(y[side], w[side], 3)
+                    gini += n.sum() - (n ** 2).sum() / n.sum()
+                best = min(best or (9e9,), (gini, f, cut))
+        got = BO.stump_class(stage, x)
+        left = x[:, stage[0]] <= stage[1]
+        gini = sum(n.sum() - (n ** 2).sum() / n.sum() for n in (np.bincount(y[s], w[s], 3) for s in (left, ~left)))
+        assert gini <= best[0] * 1.05   # binned thresholds are a subset of all
+        err = w[got != y].sum() / w.sum()
+        assert abs(stage[4] - (math.log((1 - err) / err) + math.log(2))) < 1e-9
+        w = w * np.exp(stage[4] * (got != y))
+
+
+def brute_tree(x, y, f_of, depth=0):
+    if len(set(y)) == 1:
+        return y[0]
+    best = None
+    for f in range(x.shape[1]):
+        v = np.unique(x[:, f])
+        for cut in (v[:-1] + v[1:]) / 2:
+            left = x[:, f] <= cut
+            m = sum(len(s) - sum((s == c).sum() ** 2 for c in set(s)) / len(s) for s in (y[left], y[~left]))
+            if best is None or m < best[0] - 1e-9:
+                best = (m, f, cut)
+    if best is None:
+        return None
+    left = x[:, best[1]] <= best[2]
+    return best[1], best[2], brute_tree(x[left], y[left], f_of), brute_tree(x[~left], y[~left], f_of)
+
+
+def test_tree_with_all_features_is_the_exact_tree():
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 9, (60, 3)).astype(float), rng.integers(0, 3, 60)
+    f = FO.grow(x, y, 3, "gini", 3, [0], 1, False)
+    want = brute_tree(x, y, None)
+
+    def same(node, t):
+        if not isinstance(t, tuple):
+            assert f.feature[node] < 0 and (t is None or f.value[node][t] == 1)
+            return
+        assert f.feature[node] == t[0] and abs(f.threshold[node] - t[1]) < 1e-12
+        same(f.left[node], t[2])
+        same(f.right[node], t[3])
+
+    same(0, want)
+
+
+def test_forest_prefix_is_the_smaller_forest():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(150, 4)), rng.integers(0, 4, 150)
+    for impurity in ("gini", "entropy"):
+        big = FO.grow(x, y, 4, impurity, 2, list(range(12)), 7, True)
+        small = FO.grow(x, y, 4, impurity, 2, list(range(5)), 7, True)
+        cut = big.first(5)
+        assert (cut.feature == small.feature).all() and (cut.threshold == small.threshold).all() and (cut.value == small.value).all()
+        parts = [FO.grow(x, y, 4, impurity, 2, list(range(a, b)), 7, True).votes(x) for a, b in ((0, 5), (5, 12))]
+        assert np.abs(sum(parts) - big.votes(x)).max() < 1e-9
+        again = FO.Forest.from_rows([dict(zip(("tree", "id", "feature", "threshold", "left", "right", "shares"), r)) for r in big.rows()])
+        assert (again.votes(x) == big.votes(x)).all()
+        assert (big.probabilities(x, 4).argmax(1) == y).mean() > 0.95
+
+
+def test_forest_cross_validation_adds_up(spark):
+    d = labelled(spark, n=150, spread=4.0)
+    rows = spark.sparkContext.broadcast(FO.ForestRows(M.knn_table(d, "fold")))
+    got = FO.held_out_accuracy(spark, rows, [("gini", 2)], [3, 6], 3, 8, 5, True)
+    t = rows.value
+    for f in range(3):
+        held = t.fold == f
+        forest = FO.grow(t.x[~held], t.label[~held], 8, "gini", 2, list(range(6)), 5, True)
+        for n in (3, 6):
+            want = (forest.first(n).votes(t.x[held]).argmax(1) == t.label[held]).mean()
+            assert abs(got["gini", 2, f, n] - want) < 1e-12
+    model = FO.fit(spark, rows, "gini", 2, 6, 8, 5, True, chunk=4)
+    assert (model.votes(t.x) == FO.grow(t.x, t.label, 8, "gini", 2, list(range(6)), 5, True).votes(t.x)).all()
+
+
+def test_knn_folds_in_one_pass(spark):
+    d = labelled(spark, n=130, whole=True, spread=2.0)
+    rows = spark.sparkContext.broadcast(KNN.TrainRows(M.knn_table(d, "fold")))
+    ks = [1, 2, 5, 9, 500]
+    acc = KNN.held_out_accuracy(P.row_table(d, 6), rows, ks, 3)
+    for f in range(3):
+        out = KNN.TrainRows(M.knn_table(d.where(F.col("fold") != f)))
+        x, y = arrays(d.where(F.col("fold") == f))
+        for i, k in enumerate(ks):
+            assert abs(acc[f, i] - (out.shares(x, k, 8).argmax(1) == y).mean()) < 1e-12
+
+
+def values(df):
+    return {r["CustomerID"]: np.array(r["phi"]) for r in df.collect()}
+
+
+def test_explanations_equal_coalition_points(spark):
+    d = labelled(spark, n=80, spread=3.0, folds=2)
+    explain, background = d.limit(4), d.orderBy("CustomerID").limit(7)
+    points = S.coalition_points(explain, background).withColumn("rid", F.monotonically_increasing_id())
+    back = S.feature_rows(background)
+    x, y = arrays(d)
+    rows = spark.sparkContext.broadcast(KNN.TrainRows(M.knn_table(d)))
+    forest = FO.grow(x, y, 8, "gini", 2, list(range(6)), 3, True)
+    boosted = BO.fit_boosted(P.row_table(d, 6), 5, 2, [0, 1, 2, 3])[-1]
+    for f, phi in ((M.Fitted("RF", "forest", forest), S.forest_phi(forest, back, step=16)),
+                   (M.Fitted("GB", "boost", boosted), S.pair_phi(S.boosted_outputs(boosted, back, 8), 6)),
+                   (M.Fitted("KNN", "knn", None, {"k": 5}, train=M.knn_table(d)), S.pair_phi(S.neighbour_outputs(rows.value, 5, back, 8, step=3), 6))):
+        want = values(S.shapley(f.score(points), 8, [0, 1, 2, 3]))
+        got = values(S.row_values(explain, phi, 8, [0, 1, 2, 3]))
+        assert set(want) == set(got) and len(got) == 4
+        assert max(np.abs(want[k] - got[k]).max() for k in want) < 1e-9, f.name
+
+
+def test_classes_with_one_row_are_fitted(spark):
+    rows = [(f"c{i}", i % 2 if i else 5, *[float(i % 7 + (9 if i == 0 else 0))] * 6) for i in range(40)]
+    d = M.model_frame(spark.createDataFrame(rows, CUSTOMER)).withColumn("fold", F.lit(0)).withColumn("fold", (F.pmod(F.xxhash64("CustomerID"), F.lit(2))).cast("int"))
+    M.GRIDS["one"] = {"SVC": {"C": [1.0]}, "LR": {"C": [1.0]}, "GB": {"rounds": [2]}, "folds": 2}
+    fitted = M.fit_suite(d.withColumn("part", F.lit("train")), "one", names=("SVC", "LR", "GB"))
+    for f in fitted.values():
+        p = f.score(d).where("label = 5").first()["p"]
+        assert p[5] > 0 and sum(p[c] for c in (2, 3, 4, 6, 7)) == 0
+
+
+def test_broken_metrics_are_errors(spark, tmp_path):
+    assert RES.read_metrics(spark, f"{tmp_path}/none") is None
+    with pytest.raises(FileNotFoundError):
+        RES.load_models(spark, str(tmp_path))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.txt").write_text("{broken")
+    with pytest.raises(ValueError):
+        RES.read_metrics(spark, f"{tmp_path}/bad")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,19 +119,18 @@ def test_families_score_probabilities(spark):
     acc = {r.model: r.accuracy for r in ev.collect()}
     assert acc["LR"] > 0.9 and acc["RF"] > 0.9 and acc["KNN"] > 0.9 and acc["VOTE"] > 0.9
     # boosted one-vs-rest: the score of a class is sigma(2 raw), normalised
-    ovr = fitted["GB"].model
+    import math
     one = data.limit(1)
-    sigma = [m.transform(one).first()["probability"][1] for m in ovr.models]
+    x = [list(one.first()["features"])]
+    sigma = [1 / (1 + math.exp(-2 * r)) for r in fitted["GB"].model.raw(np.array(x))[0]]
     got = fitted["GB"].score(one).first()["p"]
     assert all(abs(g - s / sum(sigma)) < 1e-9 for g, s in zip(got, sigma))
     # AdaBoost: votes are shares of alpha, softmax of share / (K - 1)
-    import math
-    stages, row = fitted["ADA"].model, data.limit(1)
-    share = [0.0] * 8
-    for m, a in stages:
-        share[int(m.transform(row).first()["prediction"])] += a / sum(a for _, a in stages)
-    e = [math.exp(x / 7) for x in share]
-    assert all(abs(x / sum(e) - p) < 1e-9 for x, p in zip(e, fitted["ADA"].score(row).first()["p"]))
+    share, total = [0.0] * 8, sum(s[4] for s in fitted["ADA"].model.stages)
+    for f, cut, left, right, alpha in fitted["ADA"].model.stages:
+        share[left if x[0][f] <= cut else right] += alpha / total
+    e = [math.exp(v / 7) for v in share]
+    assert all(abs(v / sum(e) - p) < 1e-9 for v, p in zip(e, fitted["ADA"].score(one).first()["p"]))
 
 
 def test_block_knn_matches_the_join(spark):

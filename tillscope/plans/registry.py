@@ -407,7 +407,7 @@ import json  # noqa: E402
 from tillscope.operators import models as M  # noqa: E402
 from tillscope.operators import shapley as SH  # noqa: E402
 from tillscope.plans import model_stages as MS  # noqa: E402
-from tillscope.schema import EVAL_NAMES_STAGE6, EXPLAINED_MODELS, FEATURE_COLS  # noqa: E402
+from tillscope.schema import FEATURE_COLS  # noqa: E402
 
 ML_GRID = "full"   # registered queries search the reference's grids, as pipelines do by default
 
@@ -473,7 +473,7 @@ def q_train_features(spark, sf):
 
 @register("model_grid_search")
 def q_grid(spark, sf):
-    fitted = ml_state(context(spark, sf))["fitted"]
+    fitted = ml_state(context(spark, sf))["fitted"]   # all families
     rows = [(n, json.dumps({k: (float(v) if isinstance(v, float) else v) for k, v in sorted(f.params.items())}),
              f.cv_accuracy) for n, f in sorted(fitted.items()) if n != "VOTE"]
     return spark.createDataFrame(rows, "model string, best_params string, cv_accuracy double")
@@ -515,8 +515,7 @@ def q_shap_rel(spark, sf):
 
 @register("explained_model_accuracy")
 def q_explained_acc(spark, sf):
-    ev = ml_eval(context(spark, sf))[0]
-    keep = {EVAL_NAMES_STAGE6[k]: v for k, v in EXPLAINED_MODELS.items()}
-    m = F.create_map(*[x for k, v in keep.items() for x in (F.lit(k), F.lit(v))])
-    return (ev.where((F.col("stage") == "stage6") & F.col("model").isin(list(keep)))
-            .select(m[F.col("model")].alias("model"), "accuracy"))
+    st = ml_state(context(spark, sf), names=MS.EXPLAINED_FAMILIES)
+    if "explained" not in st:
+        st["explained"] = MS.explained_accuracy(st["fitted"], st["later"])
+    return st["explained"]

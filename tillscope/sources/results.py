@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import classification as C
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tillscope.functions.timecols import month_label
+from tillscope.operators.boosting import Boosted, Stumps
+from tillscope.operators.forests import Forest
+from tillscope.operators.linear import LinearFit
 from tillscope.operators.models import Fitted, vote
+from tillscope.schema import FEATURE_COLS
 
 
 def save_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> list[str]:
@@ -39,10 +43,17 @@ def save_metrics(spark: SparkSession, metrics: dict, path: str) -> None:
 
 
 def read_metrics(spark: SparkSession, path: str) -> dict | None:
+    """The metrics written by ``save_metrics``; None where there is no such path.  A broken file is an error."""
     try:
-        return json.loads(spark.read.text(path).first()["value"])
-    except Exception:  # noqa: BLE001  missing file -> section absent
-        return None
+        files = spark.read.text(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e.getCondition()):
+            return None   # the section is absent
+        raise
+    row = files.first()
+    if row is None:
+        raise ValueError(f"no metrics in {path}")
+    return json.loads(row["value"])
 
 
 def read_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
@@ -50,21 +61,19 @@ def read_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str,
     return {n: spark.read.parquet(f"{folder.rstrip('/')}/{n}") for n in names}
 
 
+_TABLES = {"forest": Forest, "logistic": LinearFit, "margin": LinearFit, "boost": Boosted, "ada": Stumps}
+
+
 def save_models(spark: SparkSession, fitted: dict[str, Fitted], folder: str) -> dict[str, str]:
-    """Persist the families (Spark ML writers; KNN keeps its training table, AdaBoost its stumps) and an index of them."""
+    """Persist the families as tables (nodes, weights, the KNN's training rows) and an index of them."""
     base, out, index = folder.rstrip("/"), {}, []
     for name, f in fitted.items():
         path = f"{base}/{name}"
-        entry = {"name": name, "kind": f.kind, "params": f.params, "cv_accuracy": f.cv_accuracy, "classes": f.classes}
-        if f.kind in ("prob", "raw", "boost"):
-            f.model.write().overwrite().save(path)
-            entry["class"] = type(f.model).__name__
+        entry = {"name": name, "kind": f.kind, "params": f.params, "cv_accuracy": f.cv_accuracy}
+        if f.kind in _TABLES:
+            spark.createDataFrame(f.model.rows(), type(f.model).SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
         elif f.kind == "knn":
             f.train.write.mode("overwrite").parquet(path)
-        elif f.kind == "ada":
-            entry["alphas"] = [a for _, a in f.model]
-            for i, (stump, _) in enumerate(f.model):
-                stump.write().overwrite().save(f"{path}/stump_{i:03d}")
         else:
             continue
         index.append(entry)
@@ -74,17 +83,20 @@ def save_models(spark: SparkSession, fitted: dict[str, Fitted], folder: str) ->
 
 
 def load_models(spark: SparkSession, folder: str) -> dict[str, Fitted]:
-    """Families saved by ``save_models``; the vote is rebuilt from its members."""
+    """Families saved by ``save_models``; the vote is rebuilt from its members.  A folder without an index is an error."""
     base, out = folder.rstrip("/"), {}
-    for e in (read_metrics(spark, f"{base}/index") or {"models": []})["models"]:
+    index = read_metrics(spark, f"{base}/index")
+    if index is None:
+        raise FileNotFoundError(f"no saved models in {base}")
+    for e in index["models"]:
         path = f"{base}/{e['name']}"
-        f = Fitted(e["name"], e["kind"], params=e["params"], cv_accuracy=e["cv_accuracy"], classes=e["classes"])
+        f = Fitted(e["name"], e["kind"], params=e["params"], cv_accuracy=e["cv_accuracy"])
         if e["kind"] == "knn":
             f.train = spark.read.parquet(path)
-        elif e["kind"] == "ada":
-            f.model = [(C.DecisionTreeClassificationModel.load(f"{path}/stump_{i:03d}"), a) for i, a in enumerate(e["alphas"])]
+        elif e["kind"] == "boost":
+            f.model = Boosted.from_rows(spark.read.parquet(path).collect(), len(FEATURE_COLS))
         else:
-            f.model = getattr(C, e["class"]).load(path)
+            f.model = _TABLES[e["kind"]].from_rows(spark.read.parquet(path).collect())
         out[e["name"]] = f
     if {"RF", "GB", "KNN"} <= set(out):
         out["VOTE"] = vote(out)
