@@ -38,7 +38,7 @@ def linked(t, reach=200):
     for w in weak(t):
         near = [p for p in parts if p != w and p[0] <= w[2] + reach and p[2] >= w[0] - reach]
         roles = {role[p[3]] for p in near}
-        inside = any(p[1] < 3 and p[0] < w[2] and p[2] > w[0] for p in near)
+        inside = any(p[1] < 3 and p[0] <= w[0] and p[2] >= w[2] for p in near)
         if (w[3] == "weak_secret" and "identifier" in roles and not inside) or (w[3] == "identifier" and "secret" in roles) \
                 or (w[3] == "endpoint" and {"identifier", "secret"} <= roles):
             out.append(w)
@@ -82,3 +82,17 @@ def test_odd_rows(spark):
     assert M.scan_secrets(d).count() == d.count() and M.scan_secrets(empty_docs(spark)).count() == 0
     twice = docs(spark, ["user: bob"]).unionByName(docs(spark, ["AbCdEf0123456789GhIjKlMn"]))  # one doc_id, two rows
     assert all(not r.linked for r in M.scan_secrets(twice).collect())
+
+
+def test_many_findings_in_one_text(spark):
+    from pyspark.sql import functions as F
+    from tillscope.llm.common import replaced, spans_of
+
+    for n in (0, 1, 127, 128, 129, 1000, 20_000):
+        text = "😀token=abcdef " * n + "end"
+        d = spark.createDataFrame([(text,)], "t string")
+        spans = spans_of(F.col("t"), "token=([a-z]+)", 1)
+        r = d.select(F.size(spans).alias("n"), F.transform(spans, lambda s: s["start"]).alias("at"), replaced(F.col("t"), F.transform(
+            spans, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("no"), s["end"].alias("end"), F.lit("k").alias("kind"))),
+            lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">"))).alias("r")).first()
+        assert r.n == n and r.at == [1 + 14 * i for i in range(n)] and r.r == "😀<k> " * n + "end"

@@ -84,3 +84,55 @@ def test_odd_rows(spark):
     assert len(got) == len(rows) and [got[i].text for i in range(3)] == ["", "", ""]
     assert got[4].text == got[5].text == "T " + "x" * 200_000 + " y" and got[6].text == "N b" and got[7].text == "deep"
     assert M.extract_text(frame(spark, rows).limit(0)).count() == 0
+
+
+def host_texts(spark, bodies):
+    rows = [("http://h.com/%d" % i, f"<html><body><nav>MENU</nav><article>{b}</article></body></html>") for i, b in enumerate(bodies)]
+    return [r.text for r in M.extract_text(frame(spark, rows)).orderBy("page_id").collect()]
+
+
+def test_children_of_constant_elements_stay(spark):
+    rng = random.Random(9)
+    some = [words(rng, 40) for _ in range(10)]
+    got = host_texts(spark, [f"<h2>By <b>Author{i}</b></h2><p>{t}</p>" for i, t in enumerate(some)])
+    assert got == [f"Author{i} {t}" for i, t in enumerate(some)]   # "By" is the template's, the author is not
+    got = host_texts(spark, [f"<div>Summary: <p>{t}</p></div><p>{t[::-1]}</p>" for t in some])
+    assert got == [f"{t} {t[::-1]}" for t in some]
+
+
+def test_text_on_one_page_is_no_constant(spark):
+    rng = random.Random(8)
+    some = [words(rng, 40) for _ in range(10)]
+    heads = [f"<h1><a>T{i}</a></h1>" for i in range(9)] + ["<h1>Plain unique</h1>"]
+    got = host_texts(spark, [h + f"<p>{t}</p>" for h, t in zip(heads, some)])
+    assert got == [f"T{i} {t}" for i, t in enumerate(some[:9])] + [f"Plain unique {some[9]}"]
+
+
+def test_copies_of_one_article_keep_their_text(spark):
+    rng = random.Random(7)
+    body = f"<h1>Title</h1><p>{words(rng, 50)}</p><p>{words(rng, 60)}</p>"
+    plain = re.sub("<[^>]+>", " ", body).split()
+    for bodies in ([body] * 9, [body + f"<p>Seen on day {i}</p>" for i in range(9)]):
+        for got in host_texts(spark, bodies):
+            assert got.split()[: len(plain)] == plain
+
+
+def test_no_limit_changes_the_text(spark):
+    deep = "<div>" * 105 + "<nav>MENU</nav><p>one</p>two" + "</div>" * 105 + "<p>three</p>"
+    assert M.extract_page(deep, None) == "one two three"
+    assert M.extract_page("<b>" * 5000 + "x" + "</b>" * 5000 + "<p>y" + "<i>" * 300 + "<nav>M</nav>z", None) == "x y z"
+    many = "<p " + " ".join(f'a{i}="{i}"' for i in range(3000)) + " title='" + "v" * 9000 + "'>text</p>"
+    assert M.extract_page(many, None) == "text"
+    assert M.extract_page('<p title="a > b" class=x>c</p> <a href="open>d</a>', None) == "c d"
+    long = "x" * 300
+    some = [f"<p>{long}{'a' if i % 2 else 'b'}</p><p>{'word ' * 300}{i}</p>" for i in range(10)]
+    assert all(t.startswith(long) for t in host_texts(spark, some))   # told apart behind the 200th character
+
+
+def test_hostile_pages_are_read_in_time():
+    import time
+
+    for p in ('"<a b="' * 60_000, "<a b='" * 60_000, "<div>" * 60_000 + "</x>" * 60_000, "<b>" * 40_000 + "<p>" * 40_000, '<a "' * 60_000):
+        t = time.time()
+        M.extract_page(p + ">end", None)
+        assert time.time() - t < 20

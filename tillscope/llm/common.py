@@ -85,26 +85,52 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
 
 
+#: Spans that are added up together: long lists grow by blocks, not by single spans.
+SPAN_BLOCK = 128
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _in_blocks(items: Column, n: Column, start: Column, step, kind: str) -> Column:
+    """Arrays that ``step(state, item)`` (a struct of ``pos`` and ``out``) collects over the first ``n`` items, joined.
+
+    ``start`` is the first position; lists are put together per block, so the cost grows with n.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    block = lambda acc, i: let(
+        F.aggregate(F.slice(items, i * SPAN_BLOCK + 1, F.least(F.lit(SPAN_BLOCK), n - i * SPAN_BLOCK)),
+                    F.struct(acc["pos"].alias("pos"), none.alias("out")), step),
+        lambda r: F.struct(r["pos"].alias("pos"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+    first = F.struct(start.alias("pos"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / SPAN_BLOCK).cast("int")), first, block)
+
+
 def spans_of(text: Column, regex: str, group: int = 0) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points, end exclusive.
 
     ``value`` is capture group ``group``.  The text between matches and the matches themselves alternate, so
     their lengths add up to the positions.  Texts without a match only pay for one search.
     """
+    kind = "struct<start:int,end:int,value:string>"
     found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(regex), F.lit(group))
-    gaps = F.split(text, regex, -1)
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-    parts = F.zip_with(F.zip_with(found, value, lambda f, v: F.struct(F.char_length(f).alias("len"), v.alias("value"))),
-                       gaps, lambda m, g: F.struct(m["len"].alias("len"), m["value"].alias("value"), F.char_length(g).alias("gap")))
-    parts = F.slice(parts, 1, F.size(found))
-    acc0 = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
+    if group:
+        both = F.zip_with(found, F.regexp_extract_all(text, F.lit(regex), F.lit(group)),
+                          lambda f, v: F.struct(F.char_length(f).alias("len"), v.alias("value")))
+    else:
+        both = F.transform(found, lambda f: F.struct(F.char_length(f).alias("len"), f.alias("value")))
+    # one more gap than matches: the last pair is left out
+    parts = F.zip_with(both, F.split(text, regex, -1),
+                       lambda m, g: F.struct(m["len"].alias("len"), m["value"].alias("value"), F.char_length(g).alias("gap")))
     step = lambda acc, m: F.struct(
         (acc["pos"] + m["gap"] + m["len"]).alias("pos"),
         F.concat(acc["out"], F.array(F.struct((acc["pos"] + m["gap"]).alias("start"),
                                               (acc["pos"] + m["gap"] + m["len"]).alias("end"), m["value"].alias("value"))))
         .alias("out"))
-    return F.when(text.rlike(regex), F.aggregate(parts, acc0, step, lambda acc: acc["out"])).otherwise(empty)
+    spans = let(parts, lambda p: F.flatten(_in_blocks(p, F.size(p) - 1, F.lit(0), step, kind)["out"]))
+    return F.when(text.rlike(regex), spans).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
 
 
 def ensure_row_ids(df: DataFrame, name: str, row: str = "_row") -> DataFrame:
@@ -120,12 +146,16 @@ def span_list(spans: Column) -> Column:
 
 def replaced(text: Column, spans: Column, label) -> Column:
     """``text`` with each span of (start, no, end, kind) replaced by ``label(span)``; a span inside an earlier one goes with it."""
-    acc0 = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    step = lambda acc, s: F.when(s["start"] < acc["pos"], F.struct(
-        F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out"))).otherwise(F.struct(
-            s["end"].alias("pos"), F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), label(s)).alias("out")))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.char_length(text)))
-    return F.aggregate(F.array_sort(spans), acc0, step, rest)
+    def over(chars: Column, ordered: Column) -> Column:
+        piece = lambda a, n: F.array_join(F.slice(chars, a + 1, n), "")
+        step = lambda acc, s: F.when(s["start"] < acc["pos"], F.struct(
+            F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out"))).otherwise(F.struct(
+                s["end"].alias("pos"), F.concat(acc["out"], F.array(piece(acc["pos"], s["start"] - acc["pos"]), label(s))).alias("out")))
+        return let(_in_blocks(ordered, F.size(ordered), F.lit(0), step, "string"), lambda r: F.concat(
+            F.array_join(F.flatten(r["out"]), ""), piece(r["pos"], F.greatest(F.size(chars) - r["pos"], F.lit(0)))))
+
+    cut = let(F.split(text, ""), lambda chars: let(F.array_sort(spans), lambda ordered: over(chars, ordered)))
+    return F.when(F.size(spans) == 0, text).otherwise(cut)
 
 
 def shards(batches: Iterator[pa.RecordBatch], text: str, most: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:

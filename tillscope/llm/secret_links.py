@@ -4,7 +4,7 @@ Base findings (always reported): ``assign`` (a value of six or more characters g
 (AKIA and 16 or more capitals and digits) and ``hex`` (24 or more hexadecimal digits).
 
 Weak candidates are too common to report alone: ``weak_secret`` (an unbroken run of 20 or more base64 characters with
-letters and digits that is no base finding), ``identifier`` (a value given to a user-like name) and ``endpoint`` (a URL
+letters and digits that lies in no base finding), ``identifier`` (a value given to a user-like name) and ``endpoint`` (a URL
 or a value given to a host-like name).  Each part has a scope, ``reach`` code points to both sides.  An interval join
 finds the complementary parts inside a scope: a weak secret is reported beside an access identifier, an identifier
 beside a secret, an endpoint beside both.  ``access`` counts as identifier; ``assign`` and ``hex`` as secrets.
@@ -80,7 +80,7 @@ def link_parts(parts: DataFrame, reach: int) -> DataFrame:
     # a weak secret that lies in a base finding is that finding
     seen = pairs.groupBy("_row", "start", "no", "end", "kind", "role").agg(
         F.max((F.col("beside") == "identifier").cast("int")).alias("id"), F.max((F.col("beside") == "secret").cast("int")).alias("secret"),
-        F.max(((F.col("o") < len(BASE)) & (F.col("s") < F.col("end")) & (F.col("e") > F.col("start"))).cast("int")).alias("inside"))
+        F.max(((F.col("o") < len(BASE)) & (F.col("s") <= F.col("start")) & (F.col("e") >= F.col("end"))).cast("int")).alias("inside"))
     linked = seen.where(((F.col("role") == "secret") & (F.col("id") == 1) & (F.col("inside") == 0))
                         | ((F.col("role") == "identifier") & (F.col("secret") == 1))
                         | ((F.col("role") == "endpoint") & (F.col("id") == 1) & (F.col("secret") == 1)))
@@ -125,7 +125,7 @@ weak AS (""" + " UNION ALL ".join([
     _sql_spans("identifier", IDENTIFIER.replace("*+", "*")), _sql_spans("endpoint", ENDPOINT.replace("*+", "*"))]) + """),
 parts AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
 seen AS (SELECT w.doc_id, w.no, w.kind, w.role, w."start", w."end", bool_or(p.role = 'identifier') AS id, bool_or(p.role = 'secret') AS secret,
-  bool_or(p.no < 3 AND p."start" < w."end" AND p."end" > w."start") AS inside
+  bool_or(p.no < 3 AND p."start" <= w."start" AND p."end" >= w."end") AS inside
   FROM weak w JOIN parts p ON p.doc_id = w.doc_id AND p."start" <= w."end" + 200 AND p."end" >= w."start" - 200
   GROUP BY ALL),
 linked AS (SELECT doc_id, no, kind, role, "start", "end" FROM seen WHERE (role = 'secret' AND id AND NOT inside)

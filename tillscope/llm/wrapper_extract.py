@@ -8,14 +8,16 @@ four parts that recur become repeated, and parts that only one side has become o
 different tasks are aligned with each other in the same way.  The part that holds the article is found in the wrapper
 by the text that its slots hold over all pages of the host, leaving out parts that are menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or comments by tag or by class and id words; texts in the article part that are
-the same on all of at least ``template_pages`` different pages belong to the template and are left out too.
+the same on all pages of at least ``template_pages`` different articles (told apart by their longest text, so copies that differ
+a little are one) belong to the template and are left out too: an element's own text, not what its children hold, and only where
+they are a small part of the article.
 
 Text: character references decoded, white space inside a block turned into one space, trimmed, blocks joined by a space.
 
 Defined cases: null or empty html has empty text; a page that lacks the host's article part is taken by its own wrapper; null
 urls form a host of their own; tags left open end with their parents, a tag cut off by the end of the page is dropped;
-repeated pages count as often as they occur (equal texts are one page for ``template_pages``); an empty table gives an
-empty result; extra columns pass through, and columns named like result columns are replaced.
+repeated pages count as often as they occur; elements nested deeper than ``DEEP`` are read in place of their ancestor
+there; tags may have any number and length of attributes; an empty table gives an empty result; extra columns pass through, and columns named like result columns are replaced.
 
 Scale: pages are read twice and never grouped: each task aligns its own pages (all of them, no sample) and passes on one
 wrapper per host, wrappers are merged ``fan`` at a time, and pages find the few bytes they need of their host's
@@ -24,6 +26,7 @@ wrapper through ``lookup``.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import re
@@ -58,14 +61,21 @@ NOT_WORDS = frozenset("ad ads advert adverts advertisement banner sponsor sponso
 KEPT = frozenset("html body main article".split())
 BESIDE = frozenset("with has no without".split())
 
-# possessive throughout, and a tag is at most 512 pieces of attributes: no page makes the search slow
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)"""
-                    r"""((?:[^<>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+'|["']){0,512}+)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)""", re.S)
+#: What an attribute list is read by: plain stretches, the start of a quoted value, other quotes and signs.
+_PIECE = re.compile(r"""[^<>"'=]++|=[ \t\r\n\f]*+(["']?)|["']""")
 _CUT_OFF = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _ATTR = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _MANY = 2
 _SLOT = 1
+#: Levels of elements in a tree (deeper elements belong to their ancestor there), parts before mixed content is folded by label.
 DEEP, WIDE = 100, 64
+#: Constant texts above this length are told apart by a digest.
+PLAIN = 200
+#: Article signs that a wrapper carries (the smallest ones).
+SIGNS = 32
+#: Constants are template text only below this share of the article part's text: above it the pages are copies of one article.
+TEMPLATE_SHARE = 0.25
 
 
 class Node:
@@ -97,58 +107,120 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
     return (tag + "." + ".".join(sorted(set(words))) if words else tag), _is_skipped(tag, words)
 
 
+def _tag_end(page: str, at: int, end: int, closed: dict[str, int]) -> int:
+    """Place behind the tag whose attributes start at ``at``; -1 - q if it is no tag, being broken off at q.
+
+    ``closed`` has the last place of each quote mark, so that a value without its closing mark ends no search at the end of the page.
+    """
+    while at < end:
+        c = page[at]
+        if c == ">":
+            return at + 1
+        if c == "<":
+            return -1 - at
+        m = _PIECE.match(page, at, end)
+        at = m.end()
+        if m[1] and closed[m[1]] >= at:
+            at = page.find(m[1], at) + 1
+    return -1 - end
+
+
 def parse(page: str | None) -> Node:
+    """The tree of a page.  Elements below ``DEEP`` levels are read like all others, but their content goes to the ancestor
+    at that level, between empty marks of their own."""
     root = Node("", "", False)
-    stack, at, page = [root], 0, page or ""
+    stack: list[tuple[str, Node]] = [("", root)]
+    open_: dict[str, int] = {}
+    at, page = 0, page or ""
     end = len(page)
     cut = _CUT_OFF.search(page, max(0, page.rfind("<")))
     if cut:
         end = cut.start()
+    closed = {q: page.rfind(q, 0, end) for q in "\"'"}
+
+    def close(k: int) -> None:
+        for tag, node in stack[k:]:
+            open_[tag] -= 1
+            if node is stack[k - 1][1]:   # an element below DEEP ends a block here
+                node.kids.append(Node(tag, tag, False))
+        del stack[k:]
+
     while at < end:
         m = _TOKEN.search(page, at, end)
         text = page[at: m.start() if m else end]
         if text:
-            stack[-1].kids.append(text)
+            stack[-1][1].kids.append(text)
         if not m:
             break
         at = m.end()
         if not m[2]:
             continue
-        tag = m[2].lower()
+        start, at = at, _tag_end(page, at, end, closed)
+        if at < 0:   # no tag: plain text up to where it broke off
+            at = -1 - at
+            stack[-1][1].kids.append(page[m.start():at])
+            continue
+        tag, attrs = m[2].lower(), page[start:at - 1]
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if open_.get(tag):
+                close(max(k for k in range(1, len(stack)) if stack[k][0] == tag) if stack[-1][0] != tag else len(stack) - 1)
             continue
-        close = ENDS.get(tag) or (("p",) if tag in ENDS_P else ())
-        if close:
+        ends = ENDS.get(tag) or (("p",) if tag in ENDS_P else ())
+        if any(open_.get(t) for t in ends):
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in close:
-                    del stack[k:]
+                if stack[k][0] in ends:
+                    close(k)
                     break
-                if stack[k].tag in SCOPE:
+                if stack[k][0] in SCOPE:
                     break
-        label, skip = _label(tag, m[3])
+        label, skip = _label(tag, attrs)
         node = Node(tag, label, skip)
-        stack[-1].kids.append(node)
+        stack[-1][1].kids.append(node)
         if tag in RAW:
             close_at = re.compile(f"</{tag}", re.I).search(page, at, end)
             at = close_at.start() if close_at else end
             node.skip = True
-        if tag not in VOID and len(stack) < DEEP and not (m[3].endswith("/") and tag not in INLINE and tag not in ENDS_P):
-            stack.append(node)
+        if tag not in VOID and not (attrs.endswith("/") and tag not in INLINE and tag not in ENDS_P):
+            deep = len(stack) >= DEEP and not node.skip
+            stack.append((tag, stack[-1][1] if deep else node))
+            open_[tag] = open_.get(tag, 0) + 1
     return root
 
 
+def _constant(own: list[str]) -> str | None:
+    """A part's own text as its constant; long texts end in a digest of the whole."""
+    if not own:
+        return None
+    text = " ".join(own)
+    return text if len(text) <= PLAIN else text[:PLAIN] + "\0" + hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _own_text(node: Node) -> list[str]:
+    return [k.strip() for k in node.kids if isinstance(k, str) and not k.isspace()]
+
+
 # ---- wrappers: [label, pages, characters, text (None, constant or _SLOT), parts]; part: [wrapper, least, most] ----
 
 def _merge_text(a, b):
-    return b if a is None else a if b is None or a == b else _SLOT
+    """A text that only one side has is no constant."""
+    return a if a == b else _SLOT
 
 
 def _merge(a: list, b: list) -> list:
-    return [a[0], a[1] + b[1], a[2] + b[2], _merge_text(a[3], b[3]), _align(a[4], b[4])]
+    both = [a[0], a[1] + b[1], a[2] + b[2], _merge_text(a[3], b[3]), _align(a[4], b[4])]
+    return [*both, sorted({*a[5], *b[5]})[:SIGNS]] if len(a) > 5 else both
+
+
+def page_wrapper(page: str) -> list:
+    """The wrapper of a page with the sign of its article: a digest of its longest text, which copies share."""
+    root, longest = parse(page), ""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if not node.skip:
+            longest = max(longest, " ".join(_own_text(node)), key=lambda t: (len(t), t))
+            todo += [k for k in node.kids if isinstance(k, Node)]
+    return [*wrapper_of(root), [hashlib.md5(longest.encode("utf-8", "surrogatepass")).hexdigest()[:12]]]
 
 
 def _labels(parts: list) -> list[str]:
@@ -213,15 +285,9 @@ def _align(a: list, b: list) -> list:
 
 def wrapper_of(node: Node) -> list:
     """The wrapper of one page; parts that are never article text keep their tag only."""
-    own, parts = [], []
-    if not node.skip:
-        for k in node.kids:
-            if isinstance(k, Node):
-                parts.append([wrapper_of(k), 1, 1])
-            elif not k.isspace():
-                own.append(k.strip())
-    text = " ".join(own)
-    return [node.label, 1, len(text), text[:200] if own else None, _fold(parts) if len(parts) > 1 else parts]
+    own = [] if node.skip else _own_text(node)
+    parts = [] if node.skip else [[wrapper_of(k), 1, 1] for k in node.kids if isinstance(k, Node)]
+    return [node.label, 1, len(" ".join(own)), _constant(own), _fold(parts) if len(parts) > 1 else parts]
 
 
 def expression(w: list) -> str:
@@ -282,16 +348,23 @@ def article_part(w: list, share: float = 0.2, descend: float = 0.6) -> tuple[str
 
 
 def template_texts(w: list, part: tuple[str, ...], pages: int) -> list[list]:
-    """(path, text) of constants that stand once on every one of at least ``pages`` pages, inside the article part."""
-    if w[1] < pages:
+    """(path, text) of constants that stand once on every page of at least ``pages`` different articles, inside the article part.
+
+    None where the constants hold ``TEMPLATE_SHARE`` or more of the part's text: then the pages are copies of one article.
+    """
+    if len(w[5]) < pages:
         return []
-    out, seen = [], {}
+    out, seen, every, constant = [], {}, 0, 0
     for path, x in _walk(w, ()):
         seen.setdefault(path, []).append(x)
     for path, xs in seen.items():
-        if path[: len(part)] == part and len(path) > len(part) and len(xs) == 1 and xs[0][1] == w[1] and isinstance(xs[0][3], str) and xs[0][2] < 200 * xs[0][1]:
+        if path[: len(part)] != part:
+            continue
+        every += sum(x[2] for x in xs)
+        if len(path) > len(part) and len(xs) == 1 and xs[0][1] == w[1] and isinstance(xs[0][3], str):
             out.append([list(path), xs[0][3]])
-    return out
+            constant += xs[0][2]
+    return out if constant < TEMPLATE_SHARE * every else []
 
 
 def main_text(root: Node, part: tuple[str, ...], template: dict[tuple, str]) -> str | None:
@@ -311,12 +384,12 @@ def main_text(root: Node, part: tuple[str, ...], template: dict[tuple, str]) ->
             own.clear()
 
     def collect(node: Node, path: tuple) -> None:
-        if template and template.get(path) is not None:
-            if " ".join(k.strip() for k in node.kids if isinstance(k, str) and not k.isspace())[:200] == template[path]:
-                return
+        # only the element's own text is the template's: what its children hold is not
+        known = template.get(path) is not None and _constant(_own_text(node)) == template[path]
         for k in node.kids:
             if isinstance(k, str):
-                own.append(k)
+                if not known:
+                    own.append(k)
             elif not k.skip:
                 if k.tag not in INLINE:
                     end()
@@ -358,7 +431,7 @@ def infer_wrappers(pages: DataFrame, host: str = "host", html: str = "html", fan
         for b in batches:
             for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if page:
-                    w = wrapper_of(parse(page))
+                    w = page_wrapper(page)
                     known[h] = _merge(known[h], w) if h in known else w
                     if len(known) > 2000:
                         yield flush()
