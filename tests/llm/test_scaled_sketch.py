@@ -27,7 +27,7 @@ def test_edits_and_likeness(spark):
         prints.setdefault(e, set()).add(r.edited_fingerprint)
         prints.setdefault(t or "", set()).add(r.fingerprint)
         a, b = set(r.fingerprint.split(",")) - {""}, set(r.edited_fingerprint.split(",")) - {""}
-        if a and b:
+        if r.fingerprint_exact == r.edited_fingerprint_exact and a and b:
             assert abs(r.near_edited - len(a & b) / min(len(a), len(b))) < 1e-12
         if i < 49:
             assert r.near_edited > 0.5 and r.near_next < 0.1
@@ -77,7 +77,30 @@ def test_short_texts_have_fingerprints(spark):
     assert len(got[79].fingerprint.split(",")) == 4
 
 
-def test_all_shingles_are_kept(spark):
+def test_the_fraction_thins_long_texts(spark):
     d = spark.createDataFrame([(sentences(1, seed=5, vocabulary=5000, least=900, most=900)[0],)], "t string")
     n = [d.select(F.size(M.sketch_of(M.word_hashes(F.col("t")), scale))).first()[0] for scale in (1, 2, 4)]
     assert n[0] == 896 and 350 < n[1] < 550 and 150 < n[2] < 300
+    texts = sentences(30, seed=6, vocabulary=5000, least=200, most=400)
+    for r in query(spark, docs(spark, texts)).values():
+        assert len(r.fingerprint) < len(texts[r.doc_id]) and not r.fingerprint_exact
+
+
+def shingles(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_small_sets_are_exact_on_both_sides(spark):
+    """A short text against a long one that holds it: the thinned sketch alone could say nothing."""
+    texts, long = [], sentences(1, seed=7, vocabulary=5000, least=600, most=600)[0].split()
+    for i in range(20):
+        texts += [" ".join(long[30 * i % 500:30 * i % 500 + 5 + i % 9]), " ".join(long)]
+    got = query(spark, docs(spark, texts))
+    for i in range(0, 40, 2):
+        a, b = shingles(texts[i]), shingles(texts[i + 1])
+        assert got[i].fingerprint_exact and not got[i + 1].fingerprint_exact
+        assert got[i].near_next == len(a & b) / min(len(a), len(b)) == 1.0
+    for i in (0, 39):
+        n = len(shingles(texts[i]))
+        assert (len(got[i].fingerprint.split(",")) == n) == (n <= M.EXACT)

@@ -1,19 +1,21 @@
-"""Document fingerprints: threshold-scaled sketches (every shingle hash below a fixed fraction is kept; here all of them).
+"""Document fingerprints: threshold-scaled sketches (every shingle hash below a fixed fraction is kept).
 
 Words are runs of characters other than space and U+0009-U+000D, lower-cased; shingles are five consecutive words (fewer
 words: the whole sequence).  Words are hashed once and a shingle's hash combines five word hashes.  A hash is kept if
 it lies in the lowest 1/``scale`` of the unsigned 64-bit range, i.e. h < 2^64 / scale, so a sketch grows
 with its text, the union of sketches is the sketch of the union, and the kept shares of very unequal documents
-compare directly.  The operator keeps all (``SCALE`` = 1): a fraction leaves short texts, which have a few shingles or one,
-with an empty sketch.  Likeness of two sketches is their containment: common hashes over the smaller sketch's hashes.
+compare directly.  A fraction would leave texts of a few shingles empty, so texts of at most ``EXACT`` different shingles keep
+all of them (an exact set).  Likeness of two texts is the containment of the smaller: from the sketches if neither or both are
+exact, and from all shingles of both if one is.
 
 Defined cases: null text counts as empty; a text without words has the empty sketch; likeness with one empty sketch
 is 0, of two empty sketches 1 if both texts are without words and else 0; equal texts have equal sketches; repeated
 doc_ids follow each other in the order of a text hash; a null doc_id comes before all others; a single document is
 its own successor; an empty table gives an empty result; other columns are not read.
 
-Scale: texts (not sketches, which are larger) are shuffled once, by ranges of doc_id; the successor comes from a window inside a range, and the first
-document of each range is also sent to the range before.  No Python, no per-document join.
+Scale: texts are shuffled once, by ranges of doc_id; the successor comes from a window inside a range, and the first
+document of each range is also sent to the range before.  Ranges hold about 2,048 rows up to 2^17 of them (some 270 million
+documents), beyond that they grow; windows spill.  No Python, no per-document join.
 """
 
 from __future__ import annotations
@@ -22,7 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SCALE, SHINGLE = 1, 5
+from tillscope.llm.common import let
+
+SCALE, SHINGLE = 4, 5
+#: Texts of at most so many different shingles keep them all.
+EXACT = 32
 
 
 def word_hashes(text: Column) -> Column:
@@ -30,14 +36,19 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def sketch_of(hashes: Column, scale: int = SCALE, shingle: int = SHINGLE) -> Column:
-    """Sorted distinct kept hashes from the word hashes of a text."""
+def shingles_of(hashes: Column, shingle: int = SHINGLE) -> Column:
+    """Distinct shingle hashes from the word hashes of a text."""
     n = F.size(hashes)
     at = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - shingle, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
-    full = F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(shingle)]))
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(shingle)])))
+
+
+def sketch_of(hashes: Column, scale: int = SCALE, shingle: int = SHINGLE, exact: int = 0) -> Column:
+    """Sorted distinct kept hashes from the word hashes of a text (all of at most ``exact`` shingles)."""
     last = (1 << 64) // scale - 1  # above 2^63 - 1 only if all are kept
-    kept = full if scale == 1 else F.filter(full, lambda h: (h >= 0) & (h <= F.lit(last)))
-    return F.sort_array(F.array_distinct(kept))
+    low = lambda full: full if scale == 1 else F.filter(full, lambda h: (h >= 0) & (h <= F.lit(last)))
+    kept = let(shingles_of(hashes, shingle), lambda full: F.when(F.size(full) <= exact, full).otherwise(low(full)))
+    return F.sort_array(kept)
 
 
 def merge(a: Column, b: Column) -> Column:
@@ -54,24 +65,39 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lower(F.hex(h))), ",")
 
 
-def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds ``name`` (the sketch) and ``name``_words (number of words)."""
-    df = df.withColumn("_wh", word_hashes(F.col(text)))
-    return df.withColumn(name, sketch_of(F.col("_wh"))).withColumn(f"{name}_words", F.size("_wh")).drop("_wh")
+def with_sketch(df: DataFrame, text: str, name: str, exact: int = 0) -> DataFrame:
+    """Adds ``name`` (the sketch), ``name``_words (number of words) and ``name``_hashes (the words' hashes)."""
+    df = df.withColumn(f"{name}_hashes", word_hashes(F.col(text)))
+    return df.withColumn(name, sketch_of(F.col(f"{name}_hashes"), exact=exact)).withColumn(f"{name}_words", F.size(f"{name}_hashes"))
+
+
+def is_exact(name: str) -> Column:
+    """Whether a sketch is an exact set: one of more than ``EXACT`` hashes is not; of others the text's shingles tell."""
+    short = F.col(f"{name}_words") < EXACT + SHINGLE   # no more shingles than that
+    return (F.size(name) <= EXACT) & (short | (F.size(shingles_of(F.col(f"{name}_hashes"))) <= EXACT))
+
+
+def likeness(a: str, b: str) -> Column:
+    """Containment of the smaller of two texts (columns of ``with_sketch``)."""
+    every = [F.sort_array(shingles_of(F.col(f"{x}_hashes"))) for x in (a, b)]
+    blank = (F.col(f"{a}_words") == 0) & (F.col(f"{b}_words") == 0)
+    mixed = F.col(f"{a}_exact") != F.col(f"{b}_exact")
+    return F.when(blank, F.lit(1.0)).when(mixed, containment(*every)).otherwise(containment(F.col(a), F.col(b)))
 
 
 def _range_of(value: Column, cuts: list[int]) -> Column:
     """Number of the last cut that is not above ``value`` (two-level search; cuts are sorted)."""
     step = max(1, int(len(cuts) ** 0.5))
-    lits = lambda xs: F.array(*[F.lit(x) for x in xs])
-    coarse, fine = cuts[::step], [cuts[i:i + step] for i in range(0, len(cuts), step)]
-    block = F.size(F.filter(lits(coarse), lambda c: c <= value)) - 1
-    inner = F.size(F.filter(F.get(F.array(*[lits(f) for f in fine]), block), lambda c: c <= value)) - 1
+    longs = lambda text: F.transform(F.split(text, ","), lambda x: x.cast("long"))  # noqa: E731  one literal, folded once
+    join = lambda xs: ",".join(map(str, xs))
+    fine = F.transform(F.split(F.lit(";".join(join(cuts[i:i + step]) for i in range(0, len(cuts), step))), ";"), longs)
+    block = F.size(F.filter(longs(F.lit(join(cuts[::step]))), lambda c: c <= value)) - 1
+    inner = F.size(F.filter(F.get(fine, block), lambda c: c <= value)) - 1
     return (block * step + inner).cast("int")
 
 
 def with_next(docs: DataFrame, key: str, cols: list[str], tie: Column, rows_per_range: int = 2048,
-              max_ranges: int = 16384) -> DataFrame:
+              max_ranges: int = 1 << 17) -> DataFrame:
     """``docs`` with ``_next``: struct of ``cols`` of the row that follows by (key, tie); the first row follows the last.
 
     ``key`` is a non-null long column.
@@ -83,12 +109,14 @@ def with_next(docs: DataFrame, key: str, cols: list[str], tie: Column, rows_per_
     firsts = docs.select(key).repartitionByRange(n_ranges, key).groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("m"))
     cuts = sorted({r.m for r in firsts.collect()})
     at = _range_of(F.col(key), cuts)
-    is_cut = F.get(F.array(*[F.lit(c) for c in cuts]), at) == F.col(key)
+    docs = docs.withColumn("_r", at)
+    at = F.col("_r")
+    is_cut = F.get(F.transform(F.split(F.lit(",".join(map(str, cuts))), ","), lambda x: x.cast("long")), at) == F.col(key)
     here = F.struct(at.alias("r"), F.lit(0).alias("extra"))
     before = F.struct(F.pmod(at - 1, F.lit(len(cuts))).cast("int").alias("r"), F.lit(1).alias("extra"))
     dealt = docs.withColumn("_at", F.explode(F.when(is_cut, F.array(here, before)).otherwise(F.array(here))))
     w = Window.partitionBy(F.col("_at.r")).orderBy(F.col("_at.extra"), F.col(key), tie)
-    return dealt.withColumn("_next", F.lead(F.struct(*cols)).over(w)).where("_at.extra = 0").drop("_at")
+    return dealt.withColumn("_next", F.lead(F.struct(*cols)).over(w)).where("_at.extra = 0").drop("_at", "_r")
 
 
 def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,17 +127,16 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     tail = F.floor(F.col("n_chars") / 4).cast("int")
     out = nxt.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - tail).cast("int")),
                                             F.substring("_next.text", F.lit(1), tail)))
-    out = with_sketch(with_sketch(out, "text", "sketch"), "edited", "edited_sketch")
-    out = with_sketch(out.withColumn("_next_text", F.col("_next.text")), "_next_text", "next_sketch")
-    blank = lambda a, b: F.when((F.col(a) == 0) & (F.col(b) == 0), F.lit(1.0))
-    return out.select(
-        "doc_id", "text", "n_chars", "sketch", "edited", "edited_sketch",
-        blank("sketch_words", "edited_sketch_words").otherwise(containment(F.col("sketch"), F.col("edited_sketch"))).alias("near_edited"),
-        blank("sketch_words", "next_sketch_words").otherwise(containment(F.col("sketch"), F.col("next_sketch"))).alias("near_next"))
+    out = out.withColumn("_next_text", F.col("_next.text"))
+    for column, name in (("text", "sketch"), ("edited", "edited_sketch"), ("_next_text", "next_sketch")):
+        out = with_sketch(out, column, name, EXACT).withColumn(f"{name}_exact", is_exact(name))
+    return out.select("doc_id", "text", "n_chars", "sketch", "sketch_exact", "edited", "edited_sketch", "edited_sketch_exact",
+                      likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"))
 
 
 def op9_scaled_sketch(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return fingerprint_documents(docs).select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+        as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next",
+        F.col("sketch_exact").alias("fingerprint_exact"), F.col("edited_sketch_exact").alias("edited_fingerprint_exact"))
