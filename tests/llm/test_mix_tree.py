@@ -52,6 +52,41 @@ def test_taken_words(spark):
     assert again == {r._id: r.taken for r in rows}
 
 
+def test_the_tree_decides_shards_and_not_totals(spark):
+    d = corpus(spark)
+    by_seed = []
+    for tree_seed in (1, 2):
+        at = M.placed(d, n_shards=6, tree_seed=tree_seed).persist()
+        rows = M.taken_words(at).collect()
+        assert all(r.taken == sum(s.words for s in r.shards) and all(s.words > 0 for s in r.shards) for r in rows)
+        by_seed.append({r._id: (r.taken, [(s.shard, s.words) for s in r.shards]) for r in rows})
+        # a shard's words of a source are its share of the quota in blocks, but for blocks that end short
+        plan = {r._source: r for r in at.select("_source", "firsts", "block", "n_blocks", "source_size").distinct().collect()}
+        words = {}
+        for r in rows:
+            for s in r.shards:
+                words[r._source, s.shard] = words.get((r._source, s.shard), 0) + s.words
+        for source, p in plan.items():
+            for s in range(6):
+                draws = p.firsts[s + 1] - p.firsts[s]
+                short = p.block * p.n_blocks - p.source_size   # the last block of the stream
+                assert 0 <= draws * p.block - words.get((source, s), 0) <= 2 * short
+    assert {i: t for i, (t, _) in by_seed[0].items()} == {i: t for i, (t, _) in by_seed[1].items()}
+    assert by_seed[0] != by_seed[1]
+
+
+def test_blocks_lie_in_their_own_shards(spark):
+    d = corpus(spark)
+    want = {}
+    for r in M.taken_words(M.placed(d, n_shards=6)).collect():
+        for s in r.shards:
+            want[r._id, s.shard] = s.words
+    got = {}
+    for r in M.mixed_documents(d, n_shards=6, shard="shard").collect():
+        got[r.doc_id, r.shard] = got.get((r.doc_id, r.shard), 0) + n_words(r.text)
+    assert got == want
+
+
 def test_documents_of_the_mixture_hold_the_taken_words(spark):
     d = corpus(spark)
     taken = {r._id: r.taken for r in M.taken_words(M.placed(d)).collect()}

@@ -4,7 +4,8 @@ Each source's documents are put in a pseudo-random order and their words form on
 source's target is a number of block draws (its quota); draws beyond one pass start the next pass.  The vector of
 quotas is split among the output shards by a binary tree: at each node the left half receives an exact
 multivariate-hypergeometric share of every source.  A shard's draws of a source are a range of that source's
-permuted block positions, disjoint from all other shards' ranges; inside a shard the drawn pieces are shuffled.
+permuted block positions, disjoint from all other shards' ranges; inside a shard the drawn pieces are shuffled.  What a
+document gives is counted by shard, from the shards' ranges; its words taken are the sum over the shards.
 
 Targets: sources by code point (null last) weigh ``weights``, repeating; they share ``share`` of all words; a target
 stops at ``cap`` times its source's words and the excess is shared again by weight until none is above.
@@ -73,7 +74,7 @@ def split_quotas(quotas: list[int], n_shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _plan(sources: list[tuple[str | None, int]], n_shards: int, seed: int, max_blocks: int = 1 << 28) -> list[tuple]:
+def _plan(sources: list[tuple[str | None, int]], n_shards: int, seed: int, tree_seed: int, max_blocks: int = 1 << 28) -> list[tuple]:
     """(source, source_size, target, block, n_blocks, factor, shift, quota, first draw of each shard)."""
     order = sorted(sources, key=lambda s: (s[0] is None, (s[0] or "").encode("utf-8", "surrogatepass")))
     goal = targets([n for _, n in order])
@@ -81,7 +82,7 @@ def _plan(sources: list[tuple[str | None, int]], n_shards: int, seed: int, max_b
     block = [min(largest, max(1, n // 1024)) for _, n in order]
     n_blocks = [-(-n // b) for (_, n), b in zip(order, block)]
     quota = [round(t / b) for t, b in zip(goal, block)]
-    firsts = np.cumsum(np.vstack([np.zeros(len(order), np.int64), split_quotas(quota, n_shards, seed)]), axis=0)
+    firsts = np.cumsum(np.vstack([np.zeros(len(order), np.int64), split_quotas(quota, n_shards, tree_seed)]), axis=0)
     out = []
     for i, (name, n) in enumerate(order):
         m = max(1, n_blocks[i])
@@ -93,9 +94,9 @@ def _plan(sources: list[tuple[str | None, int]], n_shards: int, seed: int, max_b
 
 
 def placed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_shards: int = 64,
-           seed: int = 1, max_sources: int = 100_000) -> DataFrame:
+           seed: int = 1, tree_seed: int | None = None, max_sources: int = 100_000) -> DataFrame:
     """One row per document: _id, _key, _source, size, source_size, target, start (its first word in the source's
-    stream) and the source's block plan."""
+    stream) and the source's block plan.  ``seed`` orders documents and blocks, ``tree_seed`` (else ``seed``) splits the quotas."""
     spark = docs.sparkSession
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
     sized = written(docs.select(F.col(doc_id).alias("_id"), F.xxhash64(F.col(doc_id), F.lit(seed), F.col(text)).alias("_key"),
@@ -105,7 +106,7 @@ def placed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     if len(rows) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     plan = spark.createDataFrame(
-        _plan([(r._source, int(r.n)) for r in rows], n_shards, seed),
+        _plan([(r._source, int(r.n)) for r in rows], n_shards, seed, seed if tree_seed is None else tree_seed),
         "_source string, source_size long, target double, block long, n_blocks long, factor long, shift long, quota long, firsts array<long>")
     n_ranges = max(1, min(1 << 20, int(sum(r.docs for r in rows) ** 0.5 / 4)))
     ranged = sized.withColumn("_range", F.pmod("_key", F.lit(n_ranges)))
@@ -135,34 +136,50 @@ def _overlap(b: Column) -> tuple[Column, Column]:
             F.least((b + 1) * F.col("block") - F.col("start"), F.col("size")))
 
 
-def taken_words(at: DataFrame) -> DataFrame:
-    def words(acc: Column, b: Column) -> Column:
+def _draws(b: Column) -> Column:
+    """(shard, pass) of every draw of block ``b``: each pass draws position + pass * n_blocks, in the shard whose range holds it."""
+    at = _position(b)
+    quota = F.element_at("firsts", -1)   # the end of the last shard's range
+    passes = F.when(at < quota, F.sequence(F.lit(0).cast("long"), F.floor((quota - 1 - at) / F.col("n_blocks")))) \
+        .otherwise(F.expr("cast(array() as array<bigint>)"))
+    shard = lambda draw: F.size(F.filter("firsts", lambda f: f <= draw)) - 1
+    return F.transform(passes, lambda p: F.struct(shard(at + p * F.col("n_blocks")).alias("shard"), p.alias("pass")))
+
+
+def drawn_ranges(at: DataFrame) -> DataFrame:
+    """``at`` with ``drawn``: (shard, pass, lo, hi) of every drawn stretch of the document's words."""
+    def of(b: Column) -> Column:
         lo, hi = _overlap(b)
-        left = F.col("quota") - _position(b)
-        draws = F.when(left > 0, F.ceil(left / F.col("n_blocks"))).otherwise(F.lit(0)).cast("long")
-        return acc + (hi - lo) * draws
-    return at.withColumn("taken", F.aggregate(_blocks(), F.lit(0).cast("long"), words))
+        return F.transform(_draws(b), lambda d: F.struct(d["shard"].alias("shard"), d["pass"].alias("pass"), lo.alias("lo"), hi.alias("hi")))
+    return at.withColumn("drawn", F.flatten(F.transform(_blocks(), of)))
+
+
+def taken_words(at: DataFrame) -> DataFrame:
+    """``at`` with ``shards`` (array of shard and words that the document gives it) and ``taken``, their sum."""
+    at = drawn_ranges(at)
+    words = lambda s: F.aggregate(F.filter("drawn", lambda d: d["shard"] == s), F.lit(0).cast("long"),
+                                  lambda acc, d: acc + d["hi"] - d["lo"])
+    some = F.sort_array(F.array_distinct(F.transform("drawn", lambda d: d["shard"])))
+    at = at.withColumn("shards", F.transform(some, lambda s: F.struct(s.alias("shard"), words(s).alias("words")))).drop("drawn")
+    return at.withColumn("taken", F.aggregate("shards", F.lit(0).cast("long"), lambda acc, s: acc + s["words"]))
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-                    n_shards: int = 64, seed: int = 1) -> DataFrame:
-    """The mixture as documents: a row for each document and pass of which words are drawn.
+                    n_shards: int = 64, seed: int = 1, tree_seed: int | None = None, shard: str | None = None) -> DataFrame:
+    """The mixture as documents: a row for each document, pass and shard with drawn words; every block lies in the shard of its draw.
 
-    A document drawn whole keeps its text; of one drawn in part the drawn words are joined by one space
-    (``n_chars``, where present, follows).  Rows lie in their shard's files in shuffled order.
+    A document that a pass draws whole into one shard keeps its text; else the drawn words are joined by one space
+    (``n_chars``, where present, follows).  Rows lie in their shard's files in shuffled order; ``shard`` names a column for it.
     """
-    at = placed(docs, doc_id, text, source, n_shards, seed)
+    at = drawn_ranges(placed(docs, doc_id, text, source, n_shards, seed, tree_seed))
     at = at.withColumn("n_same", F.count(F.lit(1)).over(Window.partitionBy("_id", "_key")))
-    passes = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("n_blocks"))))
-    drawn = at.select("*", _blocks().alias("blocks"), F.explode(passes).alias("pass"))
-    drawn = drawn.withColumn("got", F.filter("blocks", lambda b: _position(b) + F.col("pass") * F.col("n_blocks") < F.col("quota")))
-    drawn = drawn.where(F.size("got") > 0)
-    draw = _position(F.col("got")[0]) + F.col("pass") * F.col("n_blocks")
-    ranges = F.transform("got", lambda b: F.struct(_overlap(b)[0].alias("lo"), _overlap(b)[1].alias("hi")))
-    drawn = drawn.select(
-        "_id", "_key", "n_same", "pass", (F.size(F.filter("firsts", lambda f: f <= draw)) - 1).alias("_shard"),
-        F.when(F.size("got") < F.size("blocks"), ranges).alias("_ranges"))
-    drawn = drawn.withColumn("_id", F.coalesce(F.col("_id").cast("string"), F.lit("")))
+    key = F.array_distinct(F.transform("drawn", lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("_shard"))))
+    drawn = at.select("_id", "_key", "n_same", "size", "drawn", F.explode(key).alias("d"))
+    own = F.filter("drawn", lambda x: (x["pass"] == F.col("d.pass")) & (x["shard"] == F.col("d._shard")))
+    drawn = drawn.select("_id", "_key", "n_same", "size", "d.*", F.transform(own, lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))).alias("r"))
+    whole = F.aggregate("r", F.lit(0).cast("long"), lambda acc, x: acc + x["hi"] - x["lo"]) == F.col("size")
+    drawn = drawn.select(F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_id"), "_key", "n_same", "pass", "_shard",
+                         F.when(~whole, F.col("r")).alias("_ranges"))
     pieces = written(drawn.groupBy("_id", "_key").agg(
         F.collect_list(F.struct("pass", "_shard", "_ranges")).alias("_draws"), F.max("n_same").alias("n_same")), "mix-draws")
     keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"),
@@ -178,9 +195,11 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = out.withColumn("_new", F.when(whole, F.col("row")[text]).otherwise(part))
     out = out.repartition(F.col("_d._shard")).sortWithinPartitions(F.col("_d._shard"), F.xxhash64("_key", F.col("_d.pass"), F.lit(seed)))
     fitted = {text: F.col("_new"), "n_chars": F.when(whole, F.col("row.n_chars")).otherwise(F.char_length("_new")) if "n_chars" in docs.columns else None}
-    return out.select(*[(fitted[c].cast(docs.schema[c].dataType) if c in fitted else F.col("row")[c]).alias(c) for c in docs.columns])
+    place = [F.col("_d._shard").alias(shard)] if shard else []
+    return out.select(*[(fitted[c].cast(docs.schema[c].dataType) if c in fitted else F.col("row")[c]).alias(c) for c in docs.columns if c != shard], *place)
 
 
 def op8_mix_tree(spark, sf_dir: str) -> DataFrame:
+    """The mixture's plan per document, with the words that each shard of the tree takes from it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return taken_words(placed(docs)).select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return taken_words(placed(docs)).select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken", "shards")
