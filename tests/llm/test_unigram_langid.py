@@ -89,3 +89,14 @@ def test_odd_rows(spark):
     assert none.languages == [] and {r.lang_pred for r in M.predict(d, none).collect()} == {"und"}
     assert M.predict(empty_docs(spark), none).count() == 0
     assert M.letter_words("12 34 ²") == [] and M.letter_words("a1b") == ["a", "b"]
+
+
+def test_text_in_no_language_goes(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = M.fit(d)
+    junk = ["xqzt vvkrp zzzq", "日本語の文章です", "%%% ### a1 b2 $$$", "0x7f 0x33 1 2 3 4", "qqqq wwwxz kkjjq zzxxcv bnmmq"]
+    rows = [(900_000 + i, t, None, "junk", len(t)) for i, t in enumerate(junk)]
+    both = d.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r.doc_id for r in M.keep_identified(both, model).collect()}
+    assert not kept & {r[0] for r in rows}
+    assert kept == {r.doc_id for r in d.select("doc_id").collect()}   # all generated documents are in a known language

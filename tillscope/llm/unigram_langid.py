@@ -11,7 +11,7 @@ scoring covers whole texts of all documents.
 
 Defined cases: null text, or text without a letter: ``und`` with score 0; rows without lang, and empty texts, teach
 nothing; with no labelled row every document is ``und``; equal posteriors go to the first language by code point; very
-long words are scored by the same recursion one at a time; repeated rows are scored alike; an empty table
+long words (48 letters or more) are left out of the fit and scored by the same recursion one at a time; repeated rows are scored alike; an empty table
 gives an empty result; extra columns pass through, and columns named like result columns are replaced.
 
 Scale: one pass without a shuffle for scoring, with a bounded word cache per task; the fit shuffles word counts of the
@@ -40,6 +40,10 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = 1e-7  # probability of a character that is no piece
 LIFT = 1e4  # forward sums carry LIFT per character, so that they stay in range
 LONG = 48  # longer words are scored one at a time
+#: The "other" model of ``keep_identified``: all letters equally likely out of so many.
+ALPHABET = 64
+#: Share of a text's characters (other than white space) that must be letters for it to be in a language.
+LETTER_SHARE = 0.25
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -180,23 +184,36 @@ class Scorer:
         self.table = np.zeros((0, len(self.m.languages)))
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, posterior) of each text; words seen for the first time are scored together."""
+        """(language, posterior) of each text."""
+        return [s[:2] for s in self.judge(texts)]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """(language, posterior, whether the text is in it at all) of each text; words seen for the first time are scored together.
+
+        A text is in its best language if that explains its letters better than the "other" model does (every letter and word
+        start with probability 1 / ``ALPHABET``) and at least ``LETTER_SHARE`` of its characters are letters.
+        """
         if len(self.number) > self.cache:
             self._clear()
-        number, known, ids = self.number, len(self.number), []
+        number, known, ids, letters = self.number, len(self.number), [], []
         for t in texts:
-            ids.append(np.array([number.setdefault(w, len(number)) for w in letter_words(t)], np.int64))
+            words = letter_words(t)
+            letters.append((sum(map(len, words)), len(words)))
+            ids.append(np.array([number.setdefault(w, len(number)) for w in words], np.int64))
         if len(number) > known and self.m.languages:
             new = list(islice(number, known, None))
             self.table = np.concatenate([self.table, self.lattice.log_probability(new, self.m.p)])
         out = []
-        for i in ids:
+        for t, i, (n, starts) in zip(texts, ids, letters):
             if not len(i) or not self.m.languages:
-                out.append(("und", 0.0))
+                out.append(("und", 0.0, False))
                 continue
-            total = self.m.prior + self.table[i].sum(0)
+            fit = self.table[i].sum(0)
+            total = self.m.prior + fit
             best = int(total.argmax())
-            out.append((self.m.languages[best], float(1 / np.exp(total - total[best]).sum())))
+            other = -(n + starts) * np.log(ALPHABET)
+            real = bool(fit[best] >= other and n >= LETTER_SHARE * sum(map(len, t.split())))
+            out.append((self.m.languages[best], float(1 / np.exp(total - total[best]).sum()), real))
         return out
 
 
@@ -267,27 +284,30 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     return Model(languages, np.log(n / n.sum()), p, pieces)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with the predicted language and its posterior, called ``names``."""
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score"),
+            real: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language and its posterior, called ``names``, and whether the text is in it at all (``real``)."""
+    names = (*names, real) if real else names
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in names]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()),
+                                                           *([T.StructField(real, T.BooleanType())] if real else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in shards(batches, text):
-            got = scorer.score(batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([g[0] for g in got], pa.string()),
-                                              pa.array([g[1] for g in got], pa.float64())], [*keep, *names])
+            got = scorer.judge(batch.column(text).to_pylist())
+            found = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_())) if k < len(names)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], [*keep, *names])
 
     return docs.select(*keep).mapInArrow(run, schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """``docs`` without those in no known language (``und``) or with a posterior below ``least``."""
-    found = predict(docs, model, names=("__lang", "__score"))
-    return found.where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*docs.columns)
+    """``docs`` without those in no known language (``und``, or better explained by the "other" model) or with a posterior below ``least``."""
+    found = predict(docs, model, names=("__lang", "__score"), real="__real")
+    return found.where((F.col("__lang") != "und") & (F.col("__score") >= least) & F.col("__real")).select(*docs.columns)
 
 
 def op7_unigram_langid(spark, sf_dir: str) -> DataFrame:
