@@ -89,5 +89,19 @@ def test_against_brute_force(spark):
         rows.append((f"h{i:04d}", "H", rnd.choice([3, 7, -2, -7, 64, -65]), day(rnd.randrange(3)), "item", "c1"))
     assert match_map(spark, rows) == brute(rows)
     # small time buckets exercise the carry between buckets
-    m = C.match_cancellations(lines(spark, rows), bucket_seconds=3600)
-    assert {r["neg_key"]: r["pos_key"] for r in m.collect()} == brute(rows)
+    for group_rows in (1, 7, 50):
+        m = C.match_cancellations(lines(spark, rows), group_rows=group_rows)
+        assert {r["neg_key"]: r["pos_key"] for r in m.collect()} == brute(rows)
+
+
+def test_one_busy_day_is_cut_by_its_times(spark):
+    n = 100_000
+    d = spark.range(n).select(F.lit("c").alias("CustomerID"), F.lit("=S").alias("sk"), (F.col("id") % 86_400).alias("t"))
+    few = spark.createDataFrame([("x", "=S", 5)], "CustomerID string, sk string, t long")
+    cuts = C.time_buckets(d.unionByName(few), 500)
+    assert [r["CustomerID"] for r in cuts.select("CustomerID").collect()] == ["c"]
+    got = d.unionByName(few).join(cuts, ["CustomerID", "sk"], "left").withColumn("bucket", C._bucket(F.col("t"), F.col("cuts")))
+    sizes = [r["count"] for r in got.groupBy("CustomerID", "bucket").count().collect()]
+    assert sum(sizes) == n + 1 and max(sizes) <= 502 and len(sizes) > 190
+    order = got.where("CustomerID = 'c'").groupBy("bucket").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("bucket").collect()
+    assert all(x["b"] < y["a"] for x, y in zip(order, order[1:]))

@@ -15,9 +15,12 @@ filed under L nodes, each negative asks at most L+1 disjoint nodes, and within o
 node only the time condition is left, which is a running minimum.  Running minima
 are computed in two levels so that no single task holds a whole key: per time bucket
 (partial aggregation) with a carry over earlier buckets (a window over bucket
-summaries, one row per active bucket), and inside the bucket a range window.  Rows
-grow by a factor L = bit length of the largest cancelled quantity; nothing is
-quadratic and nothing is capped.
+summaries, one row per active bucket), and inside the bucket a range window.  Buckets
+follow the data: a customer and item of up to ``group_rows`` lines is one bucket; a
+larger one is cut by its histogram of times into buckets of about that many lines (lines
+of one instant cannot meet each other and stay together).  Rows grow by a factor
+L = bit length of the largest cancelled quantity; nothing is quadratic and nothing is
+capped.
 """
 
 from __future__ import annotations
@@ -56,26 +59,58 @@ def positive_candidates(lines: DataFrame) -> DataFrame:
                     micros("InvoiceDate").alias("t"), F.col("Quantity").alias("q")))
 
 
-def match_cancellations(lines: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+#: Bucket starts that are searched together.
+_EDGES = 128
+
+
+def time_buckets(moves: DataFrame, group_rows: int) -> DataFrame:
+    """(CustomerID, sk, cuts): bucket starts of the customers and items with more than ``group_rows`` rows in ``moves``.
+
+    ``cuts`` is an array of (no, head, edges): stretches of up to 128 bucket starts in order.
+    """
+    hot = moves.groupBy("CustomerID", "sk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows)
+    by_time = (moves.join(hot.select("CustomerID", "sk"), ["CustomerID", "sk"], "left_semi")
+               .groupBy("CustomerID", "sk", "t").agg(F.count(F.lit(1)).alias("n")))
+    before = F.sum("n").over(Window.partitionBy("CustomerID", "sk").orderBy("t")) - F.col("n")
+    starts = (by_time.withColumn("bucket", F.floor(before / group_rows))
+              .groupBy("CustomerID", "sk", "bucket").agg(F.min("t").alias("start")))
+    edges = (starts.groupBy("CustomerID", "sk", F.floor(F.col("bucket") / _EDGES).alias("no"))
+             .agg(F.sort_array(F.collect_list("start")).alias("edges")))
+    return edges.groupBy("CustomerID", "sk").agg(
+        F.sort_array(F.collect_list(F.struct("no", F.col("edges")[0].alias("head"), "edges"))).alias("cuts"))
+
+
+def _bucket(t, cuts):
+    """Number of the bucket that ``t`` is in; 0 without cuts."""
+    block = F.element_at(F.filter(cuts, lambda c: c["head"] <= t), -1)
+    return F.when(cuts.isNull(), F.lit(0).cast("bigint")).otherwise(
+        block["no"] * _EDGES + F.size(F.filter(block["edges"], lambda e: e <= t)))
+
+
+def match_cancellations(lines: DataFrame, group_rows: int = 100_000) -> DataFrame:
     """One row per matched negative: neg_key, pos_key, CustomerID, StockCode,
     AbsQuantity, neg_time_us, pos_time_us."""
     neg = negative_candidates(lines).withColumn("sk", _stock_key())
     pos = positive_candidates(lines).withColumn("sk", _stock_key())
     # only purchases of a customer and item that has a cancellation can be hit
     pos = pos.join(neg.select("CustomerID", "sk").distinct(), ["CustomerID", "sk"], "left_semi")
-    bucket_us = bucket_seconds * 1_000_000
+    ensure_checkpoint_dir(lines.sparkSession)
+    cuts = time_buckets(pos.select("CustomerID", "sk", "t").unionByName(neg.select("CustomerID", "sk", "t")), group_rows)
+    cuts = cuts.checkpoint(eager=True)   # a row per hot customer and item; mostly none
+    pos, asked = (d.join(cuts, ["CustomerID", "sk"], "left").withColumn("bucket", _bucket(F.col("t"), F.col("cuts"))).drop("cuts")
+                  for d in (pos, neg))
 
     # L = bit length of the largest cancelled quantity (scalar subquery, run once)
     n_bits_scalar = F.length(F.bin(neg.agg(F.max("a")).scalar()))   # one scalar subquery, reused
-    neg = neg.withColumn("nb", n_bits_scalar)
+    asked = asked.withColumn("nb", n_bits_scalar)
     pos = pos.withColumn("nb", n_bits_scalar)
     n_bits = F.col("nb")
     top = _shl(F.lit(1).cast("bigint"), n_bits) - 1
     levels = F.sequence(F.lit(0), n_bits - 1)
 
     pos_nodes = (pos.withColumn("qc", F.least(F.col("q"), top))
-                 .select("CustomerID", "sk", "t", "pos_key", F.explode(levels).alias("lvl"), "qc")
-                 .select("CustomerID", "sk", "lvl", _shr(F.col("qc"), F.col("lvl")).alias("node"), "t",
+                 .select("CustomerID", "sk", "t", "bucket", "pos_key", F.explode(levels).alias("lvl"), "qc")
+                 .select("CustomerID", "sk", "lvl", _shr(F.col("qc"), F.col("lvl")).alias("node"), "t", "bucket",
                          F.lit(0).alias("kind"),
                          F.struct((-F.col("t")).alias("neg_t"), F.col("pos_key").alias("key")).alias("cand"),
                          F.lit(None).cast("string").alias("neg_key")))
@@ -84,12 +119,11 @@ def match_cancellations(lines: DataFrame, bucket_seconds: int = 86_400) -> DataF
         F.array(F.struct(F.lit(0).alias("lvl"), a.alias("node"))),
         F.transform(F.filter(levels, lambda l: _shr(a, l) % 2 == 0),
                     lambda l: F.struct(l.alias("lvl"), (_shr(a, l) + 1).alias("node"))))
-    neg_nodes = (neg.select("CustomerID", "sk", "t", "neg_key", F.explode(asks).alias("n"))
-                 .select("CustomerID", "sk", F.col("n.lvl").alias("lvl"), F.col("n.node").alias("node"), "t",
+    neg_nodes = (asked.select("CustomerID", "sk", "t", "bucket", "neg_key", F.explode(asks).alias("n"))
+                 .select("CustomerID", "sk", F.col("n.lvl").alias("lvl"), F.col("n.node").alias("node"), "t", "bucket",
                          F.lit(1).alias("kind"),
                          F.lit(None).cast("struct<neg_t:bigint,key:string>").alias("cand"), "neg_key"))
-    u = pos_nodes.unionByName(neg_nodes).withColumn("bucket", F.floor(F.col("t") / F.lit(bucket_us)))
-    ensure_checkpoint_dir(u.sparkSession)
+    u = pos_nodes.unionByName(neg_nodes)
     u = u.checkpoint(eager=True)   # read by both levels below
 
     # level 1: best positive per (key, node, bucket), carried over earlier buckets
@@ -133,10 +167,10 @@ def keep_line() -> "F.Column":
     return q.isNull() | (q >= 0) | ((F.col("Description") == "Discount") & (F.col("StockCode") == "D"))
 
 
-def clean_lines(lines: DataFrame, matches: DataFrame | None = None, bucket_seconds: int = 86_400) -> DataFrame:
+def clean_lines(lines: DataFrame, matches: DataFrame | None = None, group_rows: int = 100_000) -> DataFrame:
     """transactions_clean: kept lines + QuantityCanceled + TotalPrice."""
     if matches is None:
-        matches = match_cancellations(lines, bucket_seconds)
+        matches = match_cancellations(lines, group_rows)
     canceled = canceled_quantity(matches)
     return (lines.filter(keep_line())
             .join(canceled, F.col("line_key") == F.col("pos_key"), "left").drop("pos_key")

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tillscope.functions.rules import price_band
 from tillscope.functions.text import plural_root, tokens
+from tillscope.operators import kmeans as KM
 from tillscope.schema import PRICE_BAND_LABELS, STOP_KEYWORDS
 
 
@@ -74,26 +73,25 @@ def product_features(prods: DataFrame, keywords: DataFrame) -> DataFrame:
 
 def cluster_products(features: DataFrame, k: int = 5, floor: float = 0.145, attempts: int = 5, starts: int = 30):
     """KMeans(k) with up to ``attempts`` seeds, each the best of ``starts`` initialisations by cost, stopping at the first
-    silhouette at or above ``floor``; the best model is kept.  Returns (map, model, silhouette, seed).
+    silhouette at or above ``floor``; the best centres are kept.  Returns (map, centres, silhouette, seed).
 
     Silhouette is Spark's (squared Euclidean, computed from cluster statistics), so ``floor`` is a floor for this
-    measure; a warning says when no seed reaches it.  Initialisations are independent jobs, submitted together.
+    measure; a warning says when no seed reaches it.  The starts of a seed move in the same passes (``kmeans``).
     """
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
     feats = features.persist()
+    table = KM.vector_table(feats, "Description")
     best = None
     for seed in range(attempts):
-        def fit(i: int, seed: int = seed):
-            return KMeans(k=k, seed=1000 * seed + i, featuresCol="features", maxIter=300).fit(feats)
-        with ThreadPoolExecutor(max_workers=8) as pool:
-            model = min(pool.map(fit, range(starts)), key=lambda m: m.summary.trainingCost)
-        sil = ev.evaluate(model.transform(feats))
+        centres, cost, _ = KM.move_together(table, KM.first_centres(table, k, starts, seed))
+        centres = centres[int(cost.argmin())]
+        sil = ev.evaluate(feats.select("features", KM.assigned(centres).cast("double").alias("prediction")))
         if best is None or sil > best[1]:
-            best = (model, sil, seed)
+            best = (centres, sil, seed)
         if sil >= floor:
             break
-    model, sil, seed = best
+    centres, sil, seed = best
     if sil < floor:
         warnings.warn(f"product groups: silhouette {sil:.3f} is below {floor}", stacklevel=2)
-    mapping = model.transform(feats).select("Description", F.col("prediction").cast("int").alias("categ_product"))
-    return mapping, model, sil, seed
+    mapping = feats.select("Description", KM.assigned(centres).alias("categ_product"))
+    return mapping, centres, sil, seed

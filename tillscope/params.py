@@ -10,8 +10,8 @@ from dataclasses import dataclass, field
 class Params:
     # temporal train / test split on the basket mean time (reference default 2011-10-01)
     cut_date: _dt.date = _dt.date(2011, 10, 1)
-    # time-bucket width used to split hot keys in the cancellation match
-    match_bucket_seconds: int = 86_400
+    # lines of one customer and item that the cancellation match takes as one time bucket
+    match_group_rows: int = 100_000
     # product clustering
     n_product_clusters: int = 5
     silhouette_floor: float = 0.145

@@ -47,7 +47,7 @@ class Context:
         return self._get("dedup", lambda: D.dedup_lines(self.raw()))
 
     def matches(self) -> DataFrame:
-        return self._get("matches", lambda: C.match_cancellations(self.dedup(), self.p.match_bucket_seconds))
+        return self._get("matches", lambda: C.match_cancellations(self.dedup(), self.p.match_group_rows))
 
     def clean(self) -> DataFrame:
         """The cleaned lines, partitioned by month (with the partition column ``invoice_month``)."""
