@@ -213,6 +213,35 @@ def test_knn_folds_in_one_pass(spark):
             assert abs(acc[f, i] - (out.shares(x, k, 8).argmax(1) == y).mean()) < 1e-12
 
 
+def test_pivot_search_is_exact(spark):
+    rng = np.random.default_rng(11)
+    for n, k, grid in ((400, 7, 3), (900, 20, 1000), (30, 49, 5)):
+        tr = np.round(rng.normal(size=(n, 4)) * [9, 1, 3, 1] * grid / 10) / grid   # coarse grids give many ties
+        qs = np.round(rng.normal(size=(120, 4)) * [9, 1, 3, 1] * grid / 10) / grid
+        t = spark.createDataFrame([(i, int(i % 4), [float(v) for v in r]) for i, r in enumerate(tr)], "tid long, label int, x array<double>").repartition(5)
+        q = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(qs)], "qid long, x array<double>")
+        count, got = {}, {}
+        for r in KNN.neighbours(t, q, k, count=count).collect():
+            got.setdefault(r["qid"], []).append((r["rank"], r["tid"]))
+        for i, x in enumerate(qs):
+            d = np.sqrt(sum((tr[:, j] - x[j]) ** 2 for j in range(4)))
+            want = sorted(range(n), key=lambda j: (d[j], j))[:k]
+            assert [tid for _, tid in sorted(got[i])] == want
+        assert count["pairs"] <= n * 120
+    assert KNN.neighbours(t.limit(0), q, 3).count() == 0 and KNN.neighbours(t, q.limit(0), 3).count() == 0
+
+
+def test_knn_by_join_and_by_arrays_agree(spark):
+    d = labelled(spark, n=110, spread=2.0)
+    table = P.row_table(d, 6)
+    spec = {"KNN": {"k": [1, 4, 9]}}
+    a, b = M.fit_knn(d, table, spec, 3), M.fit_knn(d, table, spec, 3, limit=10)
+    assert (a.params, a.joined, b.joined) == (b.params, False, True) and abs(a.cv_accuracy - b.cv_accuracy) < 1e-12
+    x = {r["rid"]: r["p"] for r in a.score(d).collect()}
+    y = {r["rid"]: r["p"] for r in b.score(d).collect()}
+    assert set(x) == set(y) and all(np.abs(np.array(x[i]) - np.array(y[i])).max() < 1e-12 for i in x)
+
+
 def values(df):
     return {r["CustomerID"]: np.array(r["phi"]) for r in df.collect()}
 

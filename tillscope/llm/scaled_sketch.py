@@ -36,19 +36,28 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def shingles_of(hashes: Column, shingle: int = SHINGLE) -> Column:
-    """Distinct shingle hashes from the word hashes of a text."""
+def shingle_hashes(hashes: Column, shingle: int = SHINGLE) -> Column:
+    """Hashes of all shingles, repeats included, from the word hashes of a text."""
     n = F.size(hashes)
     at = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - shingle, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(shingle)])))
+    return F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(shingle)]))
 
 
-def sketch_of(hashes: Column, scale: int = SCALE, shingle: int = SHINGLE, exact: int = 0) -> Column:
-    """Sorted distinct kept hashes from the word hashes of a text (all of at most ``exact`` shingles)."""
+def sketch_struct(hashes: Column, scale: int = SCALE, shingle: int = SHINGLE, exact: int = 0) -> Column:
+    """(sketch, exact): sorted distinct kept hashes; all of them, and ``exact`` true, for at most ``exact`` different shingles."""
     last = (1 << 64) // scale - 1  # above 2^63 - 1 only if all are kept
     low = lambda full: full if scale == 1 else F.filter(full, lambda h: (h >= 0) & (h <= F.lit(last)))
-    kept = let(shingles_of(hashes, shingle), lambda full: F.when(F.size(full) <= exact, full).otherwise(low(full)))
-    return F.sort_array(kept)
+    pair = lambda kept, whole: F.struct(F.sort_array(kept).alias("sketch"), F.lit(whole).alias("exact"))
+    # texts with more kept hashes than an exact set may have need no count of all
+    count = lambda full, kept: let(F.array_distinct(full), lambda all_: F.when(F.size(all_) <= exact, pair(all_, True))
+                                   .otherwise(pair(kept, False)))
+    return let(shingle_hashes(hashes, shingle), lambda full: let(F.array_distinct(low(full)), lambda kept: F.when(
+        F.size(kept) > exact, pair(kept, False)).otherwise(count(full, kept))))
+
+
+def sketch_of(hashes: Column, scale: int = SCALE, shingle: int = SHINGLE) -> Column:
+    """Sorted distinct kept hashes from the word hashes of a text."""
+    return sketch_struct(hashes, scale, shingle)["sketch"]
 
 
 def merge(a: Column, b: Column) -> Column:
@@ -66,23 +75,18 @@ def as_text(sketch: Column) -> Column:
 
 
 def with_sketch(df: DataFrame, text: str, name: str, exact: int = 0) -> DataFrame:
-    """Adds ``name`` (the sketch), ``name``_words (number of words) and ``name``_hashes (the words' hashes)."""
-    df = df.withColumn(f"{name}_hashes", word_hashes(F.col(text)))
-    return df.withColumn(name, sketch_of(F.col(f"{name}_hashes"), exact=exact)).withColumn(f"{name}_words", F.size(f"{name}_hashes"))
-
-
-def is_exact(name: str) -> Column:
-    """Whether a sketch is an exact set: one of more than ``EXACT`` hashes is not; of others the text's shingles tell."""
-    short = F.col(f"{name}_words") < EXACT + SHINGLE   # no more shingles than that
-    return (F.size(name) <= EXACT) & (short | (F.size(shingles_of(F.col(f"{name}_hashes"))) <= EXACT))
+    """Adds ``name`` (the sketch), ``name``_exact, ``name``_words (number of words) and ``name``_hashes (the words' hashes)."""
+    df = df.withColumn(f"{name}_hashes", word_hashes(F.col(text))).withColumn("_s", sketch_struct(F.col(f"{name}_hashes"), exact=exact))
+    return df.withColumns({name: F.col("_s.sketch"), f"{name}_exact": F.col("_s.exact"), f"{name}_words": F.size(f"{name}_hashes")}).drop("_s")
 
 
 def likeness(a: str, b: str) -> Column:
     """Containment of the smaller of two texts (columns of ``with_sketch``)."""
-    every = [F.sort_array(shingles_of(F.col(f"{x}_hashes"))) for x in (a, b)]
+    every = [F.array_distinct(shingle_hashes(F.col(f"{x}_hashes"))) for x in (a, b)]
     blank = (F.col(f"{a}_words") == 0) & (F.col(f"{b}_words") == 0)
     mixed = F.col(f"{a}_exact") != F.col(f"{b}_exact")
-    return F.when(blank, F.lit(1.0)).when(mixed, containment(*every)).otherwise(containment(F.col(a), F.col(b)))
+    return F.when(blank, F.lit(1.0)).when(mixed, let(every[0], lambda x: let(every[1], lambda y: containment(x, y)))).otherwise(
+        containment(F.col(a), F.col(b)))
 
 
 def _range_of(value: Column, cuts: list[int]) -> Column:
@@ -129,7 +133,7 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
                                             F.substring("_next.text", F.lit(1), tail)))
     out = out.withColumn("_next_text", F.col("_next.text"))
     for column, name in (("text", "sketch"), ("edited", "edited_sketch"), ("_next_text", "next_sketch")):
-        out = with_sketch(out, column, name, EXACT).withColumn(f"{name}_exact", is_exact(name))
+        out = with_sketch(out, column, name, EXACT)
     return out.select("doc_id", "text", "n_chars", "sketch", "sketch_exact", "edited", "edited_sketch", "edited_sketch_exact",
                       likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"))
 

@@ -69,7 +69,7 @@ def save_models(spark: SparkSession, fitted: dict[str, Fitted], folder: str) ->
     base, out, index = folder.rstrip("/"), {}, []
     for name, f in fitted.items():
         path = f"{base}/{name}"
-        entry = {"name": name, "kind": f.kind, "params": f.params, "cv_accuracy": f.cv_accuracy}
+        entry = {"name": name, "kind": f.kind, "params": f.params, "cv_accuracy": f.cv_accuracy, "joined": f.joined}
         if f.kind in _TABLES:
             spark.createDataFrame(f.model.rows(), type(f.model).SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
         elif f.kind == "knn":
@@ -90,7 +90,7 @@ def load_models(spark: SparkSession, folder: str) -> dict[str, Fitted]:
         raise FileNotFoundError(f"no saved models in {base}")
     for e in index["models"]:
         path = f"{base}/{e['name']}"
-        f = Fitted(e["name"], e["kind"], params=e["params"], cv_accuracy=e["cv_accuracy"])
+        f = Fitted(e["name"], e["kind"], params=e["params"], cv_accuracy=e["cv_accuracy"], joined=e["joined"])
         if e["kind"] == "knn":
             f.train = spark.read.parquet(path)
         elif e["kind"] == "boost":
