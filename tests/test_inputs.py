@@ -1,0 +1,91 @@
+"""Files of many layouts, result folders, and report sections that fail."""
+
+import datetime as dt
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tillscope.operators import products as PR
+from tillscope.plans.report import report_bundle
+from tillscope.sources import catalog as CAT
+from tillscope.sources import invoice_csv as CSV
+
+HEADER = "InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n"
+
+
+def dates(spark, values, strict=False):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r["t"] for r in rows.select("i", CSV.parse_invoice_date(F.col("v"), strict).alias("t")).orderBy("i").collect()]
+
+
+def test_date_layouts(spark):
+    d = dt.datetime
+    good = {"12/1/2010 8:26": d(2010, 12, 1, 8, 26), "2010-12-01T08:26:05": d(2010, 12, 1, 8, 26, 5), "2010-12-01": d(2010, 12, 1),
+            "2010-12-01 08:26:05.25": d(2010, 12, 1, 8, 26, 5, 250_000), "2010/12/01 08:26": d(2010, 12, 1, 8, 26),
+            "12/1/2010 8:26 PM": d(2010, 12, 1, 20, 26), "12/1/2010 12:05 am": d(2010, 12, 1, 0, 5), "12/1/2010 12:05:09 PM": d(2010, 12, 1, 12, 5, 9),
+            "1/2/2011": d(2011, 1, 2), "2010-12-01 08:26:05.123456789": d(2010, 12, 1, 8, 26, 5, 123456)}
+    assert dates(spark, list(good)) == list(good.values()) and dates(spark, list(good), strict=True) == list(good.values())
+    assert dates(spark, ["13/1/2010 8:26", "2010-02-30", "12/1/2010 25:00", "12/1/2010 13:00 PM", "20101201", "soon", "", None]) == [None] * 8
+    with pytest.raises(Exception):
+        dates(spark, ["13/1/2010 8:26"], strict=True)
+
+
+def test_only_files_with_long_records_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + "".join(f'{i},S,"MUG, ""BIG""",1,12/1/2010 8:26,1.5,7,UK\n' for i in range(2000)), "latin-1")
+    (tmp_path / "b.csv").write_text(HEADER + '9001,S,"LINE\nBREAK",1,12/1/2010 8:26,1.5,7,UK\n9002,S,x,1,12/1/2010 8:26,1.5,7,UK\n', "latin-1")
+    short, long = CSV.files_with_long_records(spark, str(tmp_path))
+    assert [os.path.basename(f) for f in short] == ["a.csv"] and [os.path.basename(f) for f in long] == ["b.csv"]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        t = CSV.read_invoices(spark, str(tmp_path))
+        assert t.rdd.getNumPartitions() > 3   # the plain file is split
+        rows = t.orderBy("line_key").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r["InvoiceNo"] for r in rows] == [str(i) for i in range(2000)] + ["9001", "9002"]
+    assert rows[0]["Description"] == 'MUG, "BIG"' and rows[-2]["Description"] == "LINE\nBREAK" and len({r["line_key"] for r in rows}) == 2002
+
+
+def test_result_files_of_one_header_share_a_pass(spark, tmp_path):
+    for i in range(4):
+        (tmp_path / f"Eval {i}.csv").write_text("model,score\n" + "".join(f"m{j},{j + (0.5 if i == 3 else 0)}\n" for j in range(5)))
+    (tmp_path / "other.csv").write_text("when,score\n2011-01-01,7\n")
+    (tmp_path / "bare.csv").write_text("a,b\n")
+    spark.createDataFrame([(i, "x") for i in range(50)], "k long, v string").repartition(3).write.option("header", True).csv(str(tmp_path / "pairs.csv"))
+    files = [r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(str(tmp_path)).select("path").collect()]
+    assert len({tuple(h) for parts in CAT.file_headers(spark, files).values() for _, h in parts}) == 4
+    out = {r["table_name"]: (r["rows"], r["columns"]) for r in CAT.load_results(spark, str(tmp_path), str(tmp_path / "tables")).collect()}
+    assert out == {"eval_0": (5, 2), "eval_1": (5, 2), "eval_2": (5, 2), "eval_3": (5, 2), "other": (1, 2), "bare": (0, 2), "pairs": (50, 2)}
+    assert dict(spark.table("eval_0").dtypes) == {"model": "string", "score": "bigint"}
+    assert dict(spark.table("eval_3").dtypes) == {"model": "string", "score": "double"}
+    assert spark.table("pairs").count() == 50 and spark.table("bare").count() == 0
+    single = {r["column"]: r["label"] for r in CAT.infer_column_types(spark.read.option("header", True).csv(str(tmp_path / "Eval 3.csv"))).collect()}
+    assert [x[2] for x in CAT.infer_tables(spark, files) if x[0].endswith("Eval%203.csv")] == [single]
+    os.makedirs(tmp_path / "none")
+    assert CAT.load_results(spark, str(tmp_path / "none"), str(tmp_path / "tables")).count() == 0
+
+
+def test_safe_integer(spark):
+    d = spark.createDataFrame([(v,) for v in ["7", " 8 ", "7.9", "-2.5", "1e3", "nan", "inf", "x", "", None, "9" * 30]], "v string")
+    got = [r["n"] for r in d.select(CAT.safe_int(F.col("v"), -1).alias("n")).collect()]
+    assert got == [7, 8, 7, -2, 1000, -1, -1, -1, -1, -1, -1]
+
+
+def test_sections_that_fail_when_read_are_none(spark):
+    fine = spark.createDataFrame([("m", "a", 1.0)], "model string, feature string, mean_abs_shap double")
+    broken = fine.withColumn("mean_abs_shap", F.raise_error(F.lit("no such file")).cast("double"))
+    lines = spark.createDataFrame([("1", "c", 2.0, "UK", "mug")], "InvoiceNo string, CustomerID string, TotalPrice double, Country string, Description string") \
+        .withColumn("InvoiceDate", F.expr("TIMESTAMP_NTZ'2011-01-05 00:00:00'"))
+    with pytest.warns(UserWarning, match="report section left out"):
+        out = report_bundle(lines, None, None, "2011", model_eval=fine, shap_importance=broken)
+    assert out["shap_importance"] is None and out["evaluation"].count() == 1 and out["kpis"].first()["total_sales"] == 2
+
+
+def test_nouns_are_a_lexicon_join(spark):
+    prods = spark.createDataFrame([("RED MUGS SHINY", 1.0), ("BLUE MUG", 2.0), ("SHINY BOXES", 3.0), ("BIG BOX", 3.0)], "Description string, mean_price double")
+    words = {r["keyword"]: r["doc_count"] for r in PR.keyword_inventory(prods).collect()}
+    assert words["shiny"] == 2 and words["mug"] == 2
+    nouns = spark.createDataFrame([("Mug",), ("box",), (" ",)], "word string")
+    assert {r["keyword"]: r["doc_count"] for r in PR.keyword_inventory(prods, nouns).collect()} == {"mug": 2, "box": 2}

@@ -21,24 +21,30 @@ def products(clean: DataFrame) -> DataFrame:
             .agg(F.avg("UnitPrice").alias("mean_price")))
 
 
-def keyword_inventory(prods: DataFrame) -> DataFrame:
+def keyword_inventory(prods: DataFrame, nouns: DataFrame | None = None) -> DataFrame:
     """Per word root: number of descriptions containing it and its shortest surface
-    form (ties: alphabetical).  Tokens must contain a letter."""
+    form (ties: alphabetical).  Tokens must contain a letter; with a lexicon ``nouns``
+    (column ``word``, any case) they must stand in it or have a root that does."""
     toks = (prods.select("Description", F.explode(F.array_distinct(tokens(F.col("Description")))).alias("t0"))
             .where(F.col("t0").rlike("[a-z]"))
             .withColumn("root", plural_root(F.col("t0"))))
+    if nouns is not None:
+        # a few million words at most; left to the size-checked broadcast
+        known = nouns.select(F.lower(F.trim("word")).alias("w")).where("w <> ''")
+        known = known.unionByName(known.select(plural_root(F.col("w")).alias("w"))).distinct()
+        toks = toks.withColumn("w", F.explode(F.array_distinct(F.array("t0", "root")))).join(known, "w", "left_semi").drop("w").distinct()
     return (toks.groupBy("root")
             .agg(F.count_distinct("Description").alias("doc_count"),
                  F.min(F.struct(F.length("t0").alias("n"), F.col("t0").alias("w")))["w"].alias("keyword")))
 
 
-def product_keywords(prods: DataFrame) -> DataFrame:
+def product_keywords(prods: DataFrame, nouns: DataFrame | None = None) -> DataFrame:
     """Kept keywords: not a stop word, at least 3 letters, no '+' or '/', in at least
     max(2, 1% of products) descriptions.  The 1% floor bounds the list to at most
-    100 x (mean tokens per description) entries."""
+    100 x (mean tokens per description) entries.  ``nouns``: see ``keyword_inventory``."""
     n = prods.agg(F.count(F.lit(1))).scalar()
     floor = F.greatest(F.lit(2), (n * 0.01).cast("bigint"))
-    inv = keyword_inventory(prods)
+    inv = keyword_inventory(prods, nouns)
     return (inv.where(~F.col("keyword").isin(STOP_KEYWORDS) & (F.length("keyword") >= 3)
                       & (F.col("doc_count") >= floor) & ~F.col("keyword").contains("+")
                       & ~F.col("keyword").contains("/"))

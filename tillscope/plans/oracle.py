@@ -137,6 +137,8 @@ cte("seg0", f"SELECT *, {SEGMENT_SQL} AS RFM_Segment FROM scored")
 cte("segments", f"SELECT *, {SEGMENT_ID_SQL} AS cluster FROM seg0")
 _cols = ", ".join(['CustomerID', '"count"', '"min"', '"max"', '"mean"', '"sum"'] + [f"categ_{i}" for i in range(5)]
                   + ["Recency", "Frequency", "Monetary", "RFM_Segment", "cluster"])
+PROFILE_COLUMNS = _cols.split(", ")
+BASKET_COLUMNS = ["CustomerID", "InvoiceNo", "basket_price", "InvoiceDate", *[f"categ_{i}" for i in range(5)]]
 cte("profile", f"SELECT {_cols} FROM segments")
 _tsum = ", ".join(f"sum(categ_{i}) / sum(basket_price) * 100 AS categ_{i}" for i in range(5))
 cte("test_prof0", f"""

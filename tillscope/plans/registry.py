@@ -379,7 +379,10 @@ def q_cast(spark, sf):
     return CAT.cast_by_labels(df, labels)
 
 
-@register("load_results_catalog")
+@register("load_results_catalog", O.sql(f"""
+SELECT 'stage_4_customers_train' AS table_name, (SELECT count(*) FROM profile) AS rows, {len(O.PROFILE_COLUMNS)}::INTEGER AS columns
+UNION ALL SELECT 'stage4_set_test', (SELECT count(*) FROM test), {len(O.BASKET_COLUMNS)}::INTEGER
+UNION ALL SELECT 'keywords', (SELECT count(*) FROM kws), 2::INTEGER""", "profile", "test", "kws"))
 def q_catalog(spark, sf):
     c = context(spark, sf)
     folder = work_path(spark, "results")
