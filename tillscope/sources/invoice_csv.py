@@ -67,6 +67,7 @@ def read_invoices(spark: SparkSession, path: str | list[str], strict: bool = Tru
     missing column or a file of another layout than the first fails the job; ``corrupt`` is the reader's mode for broken records.
     """
     options = {"header": True, "encoding": "ISO-8859-1", "mode": corrupt, "escape": '"'}
+    path = [unquote(p) for p in path] if isinstance(path, list) else path
     short, long = files_with_long_records(spark, path)
     out = None
     for files, lines in ((short, False), (long, True)):

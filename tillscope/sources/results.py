@@ -26,6 +26,17 @@ def save_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet")
     return paths
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table's path exists, in whatever store it is."""
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        return True
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e.getCondition()):
+            return False
+        raise
+
+
 MONTH = "invoice_month"
 
 
