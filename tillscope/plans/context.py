@@ -16,6 +16,7 @@ from tillscope.operators import baskets as B
 from tillscope.operators import cancellation as C
 from tillscope.operators import cleaning as D
 from tillscope.operators import customers as U
+from tillscope.operators.monthly import MonthlyState
 from tillscope.params import Params, driver_params
 from tillscope.session import ensure_checkpoint_dir, work_path
 from tillscope.sources import driver_tables as T
@@ -28,6 +29,7 @@ class Context:
     def __init__(self, spark: SparkSession, sf_dir: str, params: Params):
         self.spark, self.sf_dir, self.p = spark, sf_dir, params
         self._t: dict[str, DataFrame] = {}
+        self._monthly: MonthlyState | None = None
 
     def _get(self, name: str, build, persist: bool = True, checkpoint: bool = False) -> DataFrame:
         if name not in self._t:
@@ -54,6 +56,13 @@ class Context:
         return self._get("clean", lambda: write_by_month(C.clean_lines(self.dedup(), self.matches()),
                                                          work_path(self.spark, "clean")), persist=False)
 
+    def monthly(self) -> MonthlyState:
+        """Monthly partial aggregates of the cleaned lines."""
+        if self._monthly is None:
+            self._monthly = MonthlyState(self.spark, work_path(self.spark, "monthly"))
+            self._monthly.load(self.clean(), 0)
+        return self._monthly
+
     def stand_in_map(self) -> DataFrame:
         return self._get("stand_in_map", lambda: B.stand_in_product_map(self.clean()))
 

@@ -204,6 +204,29 @@ def q_repeat(spark, sf):
     return R.repeat_interval(context(spark, sf).clean())
 
 
+# ---- the same questions from the monthly partial aggregates ----
+@register("kpi_overview_year_from_months", O.kpi_sql(O.P_YEAR))
+def q_kpi_months(spark, sf):
+    return R.kpi_overview(context(spark, sf).monthly().orders(), O.P_YEAR)
+
+
+@register("segment_trend_from_months", O.segment_trend_sql(O.P_YEAR))
+def q_seg_trend_months(spark, sf):
+    c = context(spark, sf)
+    return R.segment_trend(c.profile(), c.monthly().orders(), O.P_YEAR)
+
+
+@register("product_cluster_summary_from_months", O.product_summary_sql(O.P_MONTH))
+def q_prod_months(spark, sf):
+    c = context(spark, sf)
+    return R.product_cluster_summary(c.stand_in_map(), None, O.P_MONTH, stats=c.monthly().product_stats(O.P_MONTH))
+
+
+@register("monthly_sales_from_months", O.monthly_sql(O.P_YEAR))
+def q_sales_months(spark, sf):
+    return context(spark, sf).monthly().monthly_sales(O.P_YEAR)
+
+
 @register("upload_preview_periods", O.sql(
     "SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS period FROM orders WHERE o_orderdate IS NOT NULL"))
 def q_preview(spark, sf):
