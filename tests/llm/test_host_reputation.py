@@ -86,3 +86,14 @@ def test_oracles(spark, query, sql):
     clean = lambda v: None if v is None else v
     a = sorted((tuple(clean(x) for x in r) for r in want.select(*cols).fetchall()), key=repr)
     assert a == sorted((tuple(r) for r in query(spark, SF).select(*cols).collect()), key=repr)
+
+
+def test_registered_domains(spark):
+    want = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com.au": ("x.com.au", "com.au"), "1.2.3.4": ("1.2.3.4", "address"),
+            "10.2.3.4:8080": ("10.2.3.4:8080", "address"), "a.b.com": ("b.com", "com"), "co.info": ("co.info", "info"), "notco.uk": ("notco.uk", "uk"),
+            "localhost": ("localhost", "localhost"), "": ("", "")}
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(h,) for h in want], "host string")
+    domain, suffix = M.domain_of(F.col("host"))
+    assert {r.host: (r.d, r.s) for r in d.select("host", domain.alias("d"), suffix.alias("s")).collect()} == want

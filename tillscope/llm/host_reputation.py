@@ -50,8 +50,25 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _domain(host: Column, labels: int) -> Column:
-    return F.substring_index(host, ".", -labels)
+#: Labels that stand before a country's in public suffixes of two labels.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
+ADDRESS = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]+)?$"
+TWO_LABELS = r"(^|\.)(" + "|".join(SECOND_LABELS) + r")\.[a-z]{2}$"
+
+
+def _labels(host: Column, n: int) -> Column:
+    return F.substring_index(host, ".", -n)
+
+
+def domain_of(host: Column, suffixes: tuple[str, ...] = ()) -> tuple[Column, Column]:
+    """(registered domain, public suffix): ``a.co.uk`` under ``co.uk``, a numeric address as a domain of its own under
+    ``address``, else the last two labels under the last; ``suffixes`` names further suffixes of two labels."""
+    two = host.rlike(TWO_LABELS)
+    for s in suffixes:
+        two = two | host.endswith("." + s) | (host == s)
+    address = host.rlike(ADDRESS)
+    return (F.when(address, host).when(two, _labels(host, 3)).otherwise(_labels(host, 2)),
+            F.when(address, F.lit("address")).when(two, _labels(host, 2)).otherwise(_labels(host, 1)))
 
 
 def _precision(groups: DataFrame, largest: float = 1e4, least: float = 1.0) -> float:
@@ -73,11 +90,8 @@ def _precision(groups: DataFrame, largest: float = 1e4, least: float = 1.0) -> f
 def host_reputation(pages: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """One row per host from (host, bad), bad being 1, 0 or null: n, k, posterior mean and sd of the bad rate."""
     host = pages.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("k"))
-    two = F.lit(False)
-    for s in suffixes:
-        two = two | F.col("host").endswith("." + s) | (F.col("host") == s)
-    host = host.withColumn("domain", F.when(two, _domain(F.col("host"), 3)).otherwise(_domain(F.col("host"), 2)))
-    host = host.withColumn("suffix", F.when(two, _domain(F.col("host"), 2)).otherwise(_domain(F.col("host"), 1)))
+    domain, suffix = domain_of(F.col("host"), suffixes)
+    host = host.withColumn("domain", domain).withColumn("suffix", suffix)
     host = written(host, "reputation-hosts")
     domain = written(host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "reputation-domains")
     suffix = written(domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "reputation-suffixes")
@@ -119,16 +133,19 @@ def op3_host_reputation(spark, sf_dir: str) -> DataFrame:
     return filter_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
-ORACLE = r"""
+ORACLE = rf"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hp AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM cut),
 p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM hp),
 known AS (SELECT doc_id, max(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS bad
   FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
-seen AS (SELECT p.host, k.bad FROM p LEFT JOIN known k ON k.doc_id = try_cast(regexp_extract(p.path, '^/[a-z]+/([0-9]{1,18})', 1) AS BIGINT)),
-h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
-  string_split(host, '.')[-1] AS suffix FROM seen GROUP BY host),
+seen AS (SELECT p.host, k.bad FROM p LEFT JOIN known k ON k.doc_id = try_cast(regexp_extract(p.path, '^/[a-z]+/([0-9]{{1,18}})', 1) AS BIGINT)),
+h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k,
+  CASE WHEN regexp_matches(host, '{ADDRESS}') THEN host WHEN regexp_matches(host, '{TWO_LABELS}') THEN array_to_string(string_split(host, '.')[-3:], '.')
+    ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
+  CASE WHEN regexp_matches(host, '{ADDRESS}') THEN 'address' WHEN regexp_matches(host, '{TWO_LABELS}') THEN array_to_string(string_split(host, '.')[-2:], '.')
+    ELSE string_split(host, '.')[-1] END AS suffix FROM seen GROUP BY host),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY 1, 2),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY 1),
 levels AS (SELECT 'h' AS level, n, k FROM h UNION ALL SELECT 'd', n, k FROM d UNION ALL SELECT 's', n, k FROM s),
