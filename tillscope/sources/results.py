@@ -37,6 +37,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet and read back: a stage hand-off that survives lost executors."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 MONTH = "invoice_month"
 
 
