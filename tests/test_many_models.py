@@ -242,6 +242,20 @@ def test_knn_by_join_and_by_arrays_agree(spark):
     assert set(x) == set(y) and all(np.abs(np.array(x[i]) - np.array(y[i])).max() < 1e-12 for i in x)
 
 
+def test_nearest_shares_with_many_ties():
+    rng = np.random.default_rng(2)
+    t = KNN.TrainRows.__new__(KNN.TrainRows)
+    t.label, t.fold = rng.integers(0, 8, 5000), None
+    for values_ in (3, 50, 10 ** 6):
+        d = rng.integers(0, values_, (40, 5000)).astype(float)
+        d[::5, ::16] += 10 ** 7   # the sampled rows mislead
+        for k in (1, 47, 400, 5000):
+            got = t.shares_at(d, k, 8)
+            for i in range(40):
+                near = np.argsort(d[i], kind="stable")[:k]
+                assert np.abs(got[i] - np.bincount(t.label[near], minlength=8) / k).max() < 1e-12
+
+
 def values(df):
     return {r["CustomerID"]: np.array(r["phi"]) for r in df.collect()}
 
@@ -257,7 +271,7 @@ def test_explanations_equal_coalition_points(spark):
     boosted = BO.fit_boosted(P.row_table(d, 6), 5, 2, [0, 1, 2, 3])[-1]
     for f, phi in ((M.Fitted("RF", "forest", forest), S.forest_phi(forest, back, step=16)),
                    (M.Fitted("GB", "boost", boosted), S.pair_phi(S.boosted_outputs(boosted, back, 8), 6)),
-                   (M.Fitted("KNN", "knn", None, {"k": 5}, train=M.knn_table(d)), S.pair_phi(S.neighbour_outputs(rows.value, 5, back, 8, step=3), 6))):
+                   (M.Fitted("KNN", "knn", None, {"k": 5}, train=M.knn_table(d)), S.pair_phi(S.neighbour_outputs(rows.value, 5, back, 8), 6))):
         want = values(S.shapley(f.score(points), 8, [0, 1, 2, 3]))
         got = values(S.row_values(explain, phi, 8, [0, 1, 2, 3]))
         assert set(want) == set(got) and len(got) == 4
