@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.operators.passes import Block, RowTable, blocks, sums
+from tillscope.operators.passes import Block, RowTable, blocks, row_parts, sums
 
 MAX_PASSES, TOLERANCE = 300, 1e-4
 
@@ -24,7 +24,8 @@ MAX_PASSES, TOLERANCE = 300, 1e-4
 def vector_table(df: DataFrame, key: str, features: str = "features") -> RowTable:
     """Persisted rows of ``x`` and a hash of the key."""
     width = df.select(F.size(vector_to_array(features)).alias("n")).first()["n"]
-    return RowTable(df.select(vector_to_array(features).alias("x"), F.xxhash64(key).alias("key")).persist(), width)
+    # a pass returns a matrix per partition: as many as the rows need, whatever shuffle made them
+    return RowTable(df.select(vector_to_array(features).alias("x"), F.xxhash64(key).alias("key")).coalesce(row_parts(df.count())).persist(), width)
 
 
 def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
