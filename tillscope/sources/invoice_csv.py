@@ -25,6 +25,7 @@ def parse_invoice_date(c: Column, strict: bool = True) -> Column:
     strict: an unparseable value (a 13th month, too) fails the job; otherwise it becomes null.
     """
     parsed = F.lit(None).cast("timestamp_ntz")
+    plain = c.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$")   # the layout that needs no taking apart
     for rx, (y, m, d) in DATE_LAYOUTS:
         part = lambda i, rx=rx: F.regexp_extract(c, rx, i)
         two = lambda x: F.lpad(x, 2, "0")
@@ -33,10 +34,9 @@ def parse_invoice_date(c: Column, strict: bool = True) -> Column:
         clock = F.concat_ws(":", hour, F.when(part(5) == "", F.lit("00")).otherwise(part(5)), F.when(part(6) == "", F.lit("00")).otherwise(part(6)))
         text = F.when(hour.isNotNull(), F.concat(part(y), F.lit("-"), two(part(m)), F.lit("-"), two(part(d)), F.lit(" "), clock))
         parsed = F.when(c.rlike(rx), text.try_cast("timestamp_ntz")).otherwise(parsed)
-    if strict:
-        return F.when(c.isNotNull() & parsed.isNull(),
-                      F.raise_error(F.concat(F.lit("unparseable InvoiceDate: "), c))
-                      .cast("timestamp_ntz")).otherwise(parsed)
+    parsed = F.when(plain, c.try_cast("timestamp_ntz")).otherwise(parsed)
+    if strict:   # parsed once: only a value without a result is looked at again
+        return F.coalesce(parsed, F.when(c.isNotNull(), F.raise_error(F.concat(F.lit("unparseable InvoiceDate: "), c)).cast("timestamp_ntz")))
     return parsed
 
 
@@ -52,7 +52,8 @@ def _column_of(names: list[str]) -> dict[str, str]:
 def files_with_long_records(spark: SparkSession, path: str | list[str]) -> tuple[list[str], list[str]]:
     """(files in which every record ends with its line, files with records that span lines): a line with an odd number of
     quotes opens or closes such a record.  One row per file reaches the driver."""
-    odd = F.max((F.length(F.regexp_replace("value", '[^"]', "")) % 2).cast("int"))
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    odd = F.max((quotes % 2).cast("int"))
     lines = spark.read.option("encoding", "ISO-8859-1").text(path).select("value", F.col("_metadata.file_path").alias("file"))
     rows = sorted((unquote(r["file"]), r["odd"]) for r in lines.groupBy("file").agg(odd.alias("odd")).collect())
     return [f for f, o in rows if not o], [f for f, o in rows if o]
