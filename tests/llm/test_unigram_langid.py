@@ -28,6 +28,28 @@ def weight(parts, p):
     return out
 
 
+def test_tree_finds_the_same_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    pieces = {p: i for i, p in enumerate(dict.fromkeys(["▁", "é", "aé", "éb", "abba", "▁ab", "𐐨a", *("".join(rng.choice(list("abcé"), rng.integers(1, 5))) for _ in range(40))]))}
+    words = ["▁" + "".join(rng.choice(list("abcéx𐐨"), 7)) for _ in range(200)]
+    for most in (63, 3, 1):   # with few characters in the tree, words with others take the way by lookups
+        monkeypatch.setattr(M, "COMMON", most)
+        lattice = M.Lattice(pieces)
+        ids, n = lattice.of(words), len(pieces)
+        assert (lattice.column[[ord(c) for c in "abcé𐐨"]] == 255).any() == (most < 63)
+        for w, got in zip(words, ids):
+            for end in range(1, len(w) + 1):
+                for k in range(1, min(end, ids.shape[2]) + 1):
+                    assert got[end - 1, k - 1] == pieces.get(w[end - k:end], n if k == 1 else n + 1)
+    slow, n = [], lattice._one_by_one
+    monkeypatch.setattr(M, "COMMON", 63)
+    plain = M.Lattice(pieces)
+    monkeypatch.setattr(plain, "_one_by_one", lambda w, ids: slow.append(w) or n(w, ids))
+    plain.of(words)
+    assert not slow   # every stretch was looked up by itself before
+    assert (M.Lattice({}).of(["ab"]) == 0).all()   # unknown: number 0 of no pieces
+
+
 def test_forward_sums_all_segmentations():
     rng = np.random.default_rng(0)
     p = rng.random((9, 2))

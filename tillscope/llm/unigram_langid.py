@@ -40,6 +40,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = 1e-7  # probability of a character that is no piece
 LIFT = 1e4  # forward sums carry LIFT per character, so that they stay in range
 LONG = 48  # longer words are scored one at a time
+COMMON = 63  # characters of the vocabulary's tree; words with others of its characters are looked up piece by piece
 #: The "other" model of ``keep_identified``: all letters equally likely out of so many.
 ALPHABET = 64
 #: Share of a text's characters (other than white space) that must be letters for it to be in a language.
@@ -70,13 +71,49 @@ class Lattice:
         # pieces and their beginnings: a stretch that begins no piece ends the search for longer ones
         self.begins = {p[:k]: self.n + 1 for p in pieces for k in range(1, len(p))}
         self.begins.update(pieces)
+        # the same as a tree: node 0 is none, 1 the root; next node by (node, column of the character), piece by node
+        node = {"": 1} | {s: i for i, s in enumerate(self.begins, 2)}
+        often = Counter(s[-1] for s in self.begins)
+        first = lambda c: (c != START, not (LETTERS.match(c) and c == c.lower()), -often[c], c)  # noqa: E731  what words are made of
+        column = {c: i for i, c in enumerate(sorted(often, key=first)[:COMMON], 1)}
+        self.column = np.zeros(0x110000, np.uint8)   # 0: in no piece, 255: in pieces, but not in the tree
+        self.column[[ord(c) for c in often]] = [column.get(c, 255) for c in often]
+        self.next, self.piece = np.zeros((len(node) + 1, COMMON + 1), np.int32), np.full(len(node) + 1, -1, np.int32)
+        edges = [(node[s[:-1]], column[s[-1]], node[s]) for s in self.begins if s[-1] in column]
+        if edges:
+            up, by, down = np.array(edges).T
+            self.next[up, by] = down
+        self.piece[[node[s] for s in pieces]] = list(pieces.values())
 
     def of(self, words: list[str]) -> np.ndarray:
         """ids[w, end - 1, length - 1] for words of one length (start mark included)."""
-        size, n, get = len(words[0]), self.n, self.begins.get
+        size, n = len(words[0]), self.n
         reach = min(size, self.longest)
         ids = np.full((len(words), size, reach), n + 1, np.int32)
         ids[:, :, 0] = n
+        column = self.column[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        rare = (column.reshape(len(words), size) == 255).any(1)
+        # stretches from every place of every word grow together by a character until they begin no piece
+        at = np.flatnonzero(np.repeat(~rare, size))
+        room, node, flat = size - at % size, np.ones(len(at), np.int32), ids.reshape(-1)
+        for k in range(reach):
+            node = self.next[node, column[at + k]]
+            piece = self.piece[node]
+            got = piece >= 0
+            flat[at[got] * reach + k * (reach + 1)] = piece[got]
+            go = (node > 0) & (room > k + 1)
+            at, room, node = at[go], room[go], node[go]
+            if not len(at):
+                break
+        some = np.flatnonzero(rare)
+        if len(some):
+            ids[some] = self._one_by_one([words[i] for i in some], ids[some])
+        return ids
+
+    def _one_by_one(self, words: list[str], ids: np.ndarray) -> np.ndarray:
+        """``of`` for words of any characters, a lookup for each stretch."""
+        _, size, reach = ids.shape
+        n, get = self.n, self.begins.get
         at: list[int] = []
         found: list[int] = []
         base, step = 0, reach + 1
