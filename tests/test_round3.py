@@ -103,6 +103,12 @@ def test_only_pairs_that_can_match_are_kept(spark):
     assert C.matchable_pairs(neg, pos).collect() == want
 
 
+def test_a_purchase_without_a_time_is_earlier_than_any(spark):
+    rows = [("a", "S", 4, None), ("n", "S", -3, day(2)), ("b", "T", 4, None), ("c", "T", 9, day(1)), ("o", "T", -3, day(2)), ("p", "U", -3, None)]
+    m = C.match_cancellations(lines(spark, rows))
+    assert {r["neg_key"]: r["pos_key"] for r in m.collect()} == {"n": "a", "o": "b"}   # as without leaving lines out
+
+
 def test_tables_too_large_to_send_are_joined(spark, monkeypatch):
     rows = odd_lines(spark)
     t = lines(spark, rows).checkpoint()
